@@ -6,6 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from atomweave.llm import decontaminate
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -19,5 +20,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Codec(spark, tokenizer_path()).fit(docs).digest(docs).drop("text")
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
+QUERIES = {"op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 ORACLES: dict[str, str] = {}
