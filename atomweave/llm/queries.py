@@ -5,8 +5,9 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate
+from atomweave.llm import decontaminate, toxicity
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -24,5 +25,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
-QUERIES = {"op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return model.score(docs).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 ORACLES: dict[str, str] = {}
