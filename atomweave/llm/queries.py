@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, toxicity
+from atomweave.llm import decontaminate, langid, toxicity
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -31,5 +31,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {"op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = langid.fit(docs, ~langid.held_out())
+    return langid.predict(docs.select("doc_id", "text"), network).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 ORACLES: dict[str, str] = {}
