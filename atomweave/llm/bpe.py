@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from atomweave.llm.common import ship, slices
+from atomweave.llm.common import ship, slices, staged
 
 #: Words of the lexicon, which bounds its size; it changes speed alone.
 LEXICON_WORDS = 40_000
@@ -352,9 +352,16 @@ class Codec:
         self.local = Vocabulary(self._bytes)
 
     def fit(self, docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> "Codec":
-        """Compile the ``most`` frequent words of all texts; ties go to the smaller word."""
-        top = word_counts(docs, self.payload, text).where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(most)
-        words = [r["word"].encode() for r in top.collect()]
+        """Compile the words of all texts from the least frequency at which at most ``most`` words are left."""
+        counts = staged(word_counts(docs, self.payload, text).where(F.octet_length("word") <= LONG_WORD))
+        # a few thousand classes of frequency at most, whatever the corpus
+        classes = counts.groupBy(F.floor(F.log2("n") * 32).alias("class")).agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect()
+        least, kept = None, 0
+        for r in classes:
+            if (kept := kept + r["words"]) > most:
+                break
+            least = r["class"]
+        words = [] if least is None else [r["word"].encode() for r in counts.where(F.floor(F.log2("n") * 32) >= least).select("word").collect()]
         self.name = ship(self.spark, "lexicon", compile_lexicon(words, dict(zip(words, self.local.merge(words)))))
         return self
 
