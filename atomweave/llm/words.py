@@ -97,8 +97,8 @@ def shingles(hashes: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np
             target = np.repeat(out_at[full] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
             out[target] = rolled[source]
     for row in np.flatnonzero((counts > 0) & (counts < k)):
-        own = U64(counts[row])
+        own = np.array([counts[row]], U64)
         for h in hashes[at[row] : at[row + 1]]:
-            own = mix(np.array([own + GOLDEN], U64))[0] + h
-        out[out_at[row]] = mix(np.array([own], U64))[0]
+            own = mix(own + GOLDEN) + h
+        out[out_at[row]] = mix(own)[0]
     return out, out_at
