@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, html, jaccard, langid, toxicity, urls
+from atomweave.llm import decontaminate, html, jaccard, langid, substring, toxicity, urls
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -53,7 +53,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 
 
 def op5_sql() -> str:
