@@ -384,10 +384,13 @@ class Codec:
         fields = [f for f in docs.schema.fields if f.name != text]
         return docs.mapInArrow(run, T.StructType([*fields, T.StructField(text, T.StringType())]))
 
-    def digest(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text: encoded, then decoded from its ids."""
+    def digest(self, docs: DataFrame, text: str = "text", ids: str | None = None) -> DataFrame:
+        """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of each whole text: encoded, then decoded from its ids;
+        with the ids too if ``ids`` names a column for them."""
         new = {"n_tokens": (pa.int64(), T.LongType()), "ids_sha256": (pa.string(), T.StringType()), "decoded_sha256": (pa.string(), T.StringType())}
-        return self._map(docs, text, new, lambda v, x: [len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(v, x).encode()).hexdigest()])
+        if ids:
+            new[ids] = (pa.list_(pa.int32()), T.ArrayType(T.IntegerType(), False))
+        return self._map(docs, text, new, lambda v, x: [len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(v, x).encode()).hexdigest(), *([np.frombuffer(x, "<i4")] if ids else [])])
 
     def _map(self, docs: DataFrame, text: str, new: dict, row) -> DataFrame:
         payload, name = self.payload, self.name

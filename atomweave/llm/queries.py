@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, html, jaccard, langid, substring, toxicity, urls
+from atomweave.llm import decontaminate, html, jaccard, langid, quality, substring, toxicity, urls
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -57,7 +57,13 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good are the rows labelled so whose crc32 of the key isn't divisible by 5; the others are there to measure."""
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return quality.resample(table(spark, sf_dir, "documents"), labels)
+
+
+QUERIES = {"op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 
 
 def op5_sql() -> str:
