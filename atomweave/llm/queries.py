@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, html, jaccard, langid, quality, substring, toxicity, urls
+from atomweave.llm import decontaminate, html, jaccard, langid, media, quality, substring, toxicity, urls
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -63,7 +63,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), labels)
 
 
-QUERIES = {"op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a recording; those whose id is divisible by 20 are looked up among all."""
+    heard = media.fingerprints(media.render(table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull())), "vec_id")
+    return media.align(heard, F.col("vec_id") % 20 == 0, "vec_id")
+
+
+QUERIES = {"op9_media": op9_media, "op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 
 
 def op5_sql() -> str:
