@@ -32,7 +32,7 @@ SHINGLE, PERCENT = 5, 75
 #: Classes over which shingle frequency is summed, rarest shingles for the first round, postings of a fragment.
 CLASSES, RAREST, FRAGMENT_ROWS = 1 << 16, 8, 500_000
 #: Contested shingles that are broadcast; more of them are joined by a shuffle.
-CONTESTED_ROWS = 2_000_000
+CONTESTED_ROWS = 1_500_000
 
 
 def sets_of(batch: pa.RecordBatch, text: str, k: int = SHINGLE) -> list[np.ndarray]:
@@ -266,8 +266,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     fragments = max(16, -(-total * (100 - percent) // 100 // FRAGMENT_ROWS))
     open_ = staged(contested(own, late, fragments, k, percent))
     if open_.count() <= CONTESTED_ROWS:
-        got = open_.toPandas().sort_values("key")
-        shown = postings(own, late, fragments, k, percent, (got["key"].to_numpy(np.int64), got["main"].to_numpy(np.int64)))
+        got = open_.toArrow()
+        keys, mains = (got.column(c).to_numpy() for c in ("key", "main"))
+        order = np.argsort(keys, kind="stable")
+        shown = postings(own, late, fragments, k, percent, (keys[order], mains[order]))
+        del got, keys, mains, order
     else:
         shown = postings(own, late, fragments, k, percent, None).drop("main").join(open_, "key")
     more = verified(docs, staged(candidates(staged(shown), percent)), "id", "t", k, percent)
