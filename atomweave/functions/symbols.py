@@ -22,6 +22,11 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, _SPACE, "")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once: without it, nested uses would multiply the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_definition(roles: Column) -> Column:
     return F.coalesce(roles, F.lit(0)).bitwiseAND(DEFINITION) != 0
 
@@ -53,37 +58,37 @@ def owned_type(c: Column) -> Column:
     return _trim(F.regexp_replace(F.regexp_replace(_trim(c), "^&+", ""), _LIFETIMES + "(?:mut )*", ""))
 
 
+def _referenced(bare: Column, inner: Column) -> Column:
+    """``inner``, with the & of ``bare`` if it has one; null if nothing is left."""
+    return _let(inner, lambda x: F.when(x != "", F.when(F.startswith(bare, F.lit("&")), F.concat(F.lit("&"), x)).otherwise(x)))
+
+
 def param_type(c: Column) -> Column:
     """A parameter's type without lifetime and mut; a reference keeps its &."""
-    bare = _trim(c)
-    inner = _trim(F.regexp_replace(_trim(F.regexp_replace(bare, "^&+", "")), _LIFETIMES + "(?:mut )*", ""))
-    return F.when(inner != "", F.when(F.startswith(bare, F.lit("&")), F.concat(F.lit("&"), inner)).otherwise(inner))
+    return _let(_trim(c), lambda bare: _referenced(bare, _trim(F.regexp_replace(_trim(F.regexp_replace(bare, "^&+", "")), _LIFETIMES + "(?:mut )*", ""))))
 
 
 def _after(c: Column, mark: str) -> Column:
     """What follows the first ``mark``, or null."""
-    at = F.instr(c, mark)
-    return F.when(at > 0, F.substr(c, at + len(mark)))
+    return _let(c, lambda x: F.when(F.contains(x, F.lit(mark)), F.substr(x, F.instr(x, mark) + len(mark))))
 
 
 def impl_type_info(signature: Column) -> Column:
     """What tells an implementation apart: its second parameter's type, else an only one's that isn't self, else the
     return type unless that is Self."""
-    whole = _trim(signature)
-    opened, closed = F.instr(whole, "("), F.instr(whole, ")")
-    listed = F.transform(F.split(F.substr(whole, opened + 1, F.greatest(closed - opened - 1, F.lit(0))), ","), _trim)
-    only = F.get(listed, F.lit(0))
-    second = F.when(F.size(listed) >= 2, param_type(_after(F.get(listed, F.lit(1)), ":")))
-    single = F.when((F.size(listed) == 1) & ~F.startswith(only, F.lit("self")), param_type(_after(only, ":")))
-    returned = owned_type(_after(whole, "->"))
-    return F.when((opened > 0) & (closed > opened), F.coalesce(second, single, F.when((returned != "") & (returned != "Self"), returned)))
+
+    def told(whole: Column) -> Column:
+        listed = F.transform(F.split(F.regexp_extract(whole, r"(?s)\(([^)]*)\)", 1), ","), _trim)
+        chosen = _let(listed, lambda p: F.when(F.size(p) >= 2, F.get(p, F.lit(1))).when(~F.startswith(F.get(p, F.lit(0)), F.lit("self")), F.get(p, F.lit(0))))
+        returned = _let(owned_type(_after(whole, "->")), lambda r: F.when((r != "") & (r != "Self"), r))
+        return F.when(whole.rlike(r"(?s)^[^()]*\([^)]*\)"), F.coalesce(param_type(_after(chosen, ":")), returned))
+
+    return _let(_trim(signature), told)
 
 
 def self_type(signature: Column) -> Column:
     """The type in ``self: T``; a reference keeps its &."""
-    part = _trim(_after(_trim(signature), ":"))
-    inner = _trim(F.regexp_replace(F.regexp_replace(part, "^&+", ""), _LIFETIMES, ""))
-    return F.when(inner != "", F.when(F.startswith(part, F.lit("&")), F.concat(F.lit("&"), inner)).otherwise(inner))
+    return _let(_trim(_after(_trim(signature), ":")), lambda part: _referenced(part, _trim(F.regexp_replace(F.regexp_replace(part, "^&+", ""), _LIFETIMES, ""))))
 
 
 def lacks_self(symbol: Column) -> Column:
@@ -103,16 +108,14 @@ def code_name(symbol: Column, display: Column, signature: Column, self_: Column,
     none = F.lit(None).cast("string")
     target, line = none if target is None else target, none if line is None else line.cast("string")
     rest = F.regexp_replace(symbol, f"^{SYMBOL_PREFIX}", "")
-    ending = F.concat(F.regexp_extract(display, "([^:]|:(?!:))*$", 0), F.lit("()."))
+    ending = F.concat(F.regexp_replace(display, "(?s)^.*::", ""), F.lit("()."))
     known = F.startswith(symbol, F.lit(SYMBOL_PREFIX)) & F.endswith(rest, ending)
-    bare = F.substr(rest, F.lit(1), F.length(rest) - 1)
-    head, tail = F.regexp_extract(bare, "^(.*)#[^#]*$", 1), F.regexp_extract(bare, "#[^#]*$", 0)
-    info = impl_type_info(signature)
-    typed = F.when(info.isNotNull() & F.contains(bare, F.lit("#")), F.concat(head, F.lit("<"), info, F.lit(">"), tail)).otherwise(bare)
-    folder, last = F.regexp_extract(typed, "^(.*/)[^/]*$", 1), F.regexp_extract(typed, "[^/]*$", 0)
-    owned = F.when(self_.isNotNull() & lacks_self(typed) & F.contains(typed, F.lit("/")), F.concat(folder, self_, F.lit("#"), last)).otherwise(typed)
-    first, others = F.regexp_extract(owned, "^[^#]*", 0), F.regexp_extract(owned, "#.*$", 0)
-    aimed = F.when(target.isNotNull() & (others != "") & ~F.endswith(first, F.lit(">")), F.concat(first, F.lit("<"), target, F.lit(">"), others)).otherwise(owned)
+    group = lambda x, pattern: F.regexp_extract(x, pattern, 1)
+    bare = F.regexp_replace(rest, r"\.$", "")
+    # the type argument goes before the last #, the Self type after the last /, the target type before the first #
+    typed = _let(F.struct(bare.alias("b"), impl_type_info(signature).alias("i")), lambda x: F.when(x["i"].isNotNull() & F.contains(x["b"], F.lit("#")), F.concat(group(x["b"], "^(.*)#[^#]*$"), F.lit("<"), x["i"], F.lit(">"), group(x["b"], "(#[^#]*)$"))).otherwise(x["b"]))
+    owned = _let(typed, lambda x: F.when(self_.isNotNull() & lacks_self(x) & F.contains(x, F.lit("/")), F.concat(group(x, "^(.*/)[^/]*$"), self_, F.lit("#"), group(x, "([^/]*)$"))).otherwise(x))
+    aimed = _let(owned, lambda x: F.when(target.isNotNull() & F.contains(x, F.lit("#")) & ~F.endswith(group(x, "^([^#]*)"), F.lit(">")), F.concat(group(x, "^([^#]*)"), F.lit("<"), target, F.lit(">"), group(x, "^[^#]*(#.*)$"))).otherwise(x))
     numbered = F.concat(aimed, F.coalesce(F.concat(F.lit("@"), line), F.lit("")))
     return F.concat(F.lit(CODE_PREFIX), F.translate(F.when(known, numbered).otherwise(F.replace(symbol, F.lit(SYMBOL_PREFIX), F.lit(""))), " ", "/"))
 
