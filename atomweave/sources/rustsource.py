@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,8 @@ COLUMNS = """name string, file string, lines_start long, lines_end long, mode st
     has_decreases boolean, has_trusted_assumption boolean, is_external_body boolean, has_no_decreases_attr boolean, requires_text string, ensures_text string, ensures_calls array<string>, requires_calls array<string>,
     ensures_calls_full array<string>, requires_calls_full array<string>, ensures_fn_calls array<string>, ensures_method_calls array<string>, requires_fn_calls array<string>, requires_method_calls array<string>,
     display_name string, impl_type string, doc_comment string, signature_text string, body_text string, req_start long, req_end long, ens_start long, ens_end long, parse_error string"""
-_NAMES = [c.split()[0] for c in COLUMNS.split(",")]
+_ARROW = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_SCHEMA = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in COLUMNS.split(","))])
 
 
 class Source:
@@ -106,6 +107,8 @@ class Source:
                         i += 2
                 if self.at(i) == "!" and self.at(i + 1) in _OPEN:
                     i = self.match[i + 1] + 1
+                elif self.at(i) == "(" and self.at(self.match[i] + 1) == "=>":
+                    i = self.match[i] + 1  # a pattern
                 elif self.at(i) == "(":
                     own = [(path[-1], "::".join(path) if len(path) > 1 else None, False), *self.calls(i + 1, self.match[i])]
                     i = self.match[i] + 1
@@ -274,17 +277,17 @@ def functions(sources: DataFrame, methods: bool = True) -> DataFrame:
     """The function catalog of (file, content); a file that can't be read gives one row with parse_error and no name."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for file, content in zip(pdf["file"], pdf["content"]):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     found = [r | {"file": file} for r in Source(content or "").functions(methods)]
                 except (ValueError, KeyError, IndexError) as e:
                     found = [{"file": file, "parse_error": str(e)}]
                 rows += found
-            yield pd.DataFrame(rows, columns=_NAMES).astype({c: "Int64" for c in ("lines_start", "lines_end", "req_start", "req_end", "ens_start", "ens_end")})
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
-    return sources.select("file", "content").mapInPandas(run, COLUMNS)
+    return sources.select("file", "content").mapInArrow(run, COLUMNS)
 
 
 def spans(catalog: DataFrame) -> DataFrame:

@@ -119,8 +119,8 @@ def test_specs_and_tracked(spark, tmp_path):
     assert [(r["name"], r["category"], r["referenced_specs"]) for r in spec_rows.collect()] == [("axiom_small", "axiom", []), ("helper", "spec", []), ("spec_add", "spec", ["helper"])]
     (v,) = [r for r in verified.collect() if r["name"] == "method"]
     assert v["referenced_specs"] == ["spec_add"] and v["has_proof"] and v["github_link"] == "https://x/src/a.rs#L20"
-    assert {r["function"]: r["has_proof"] for r in specs.tracked(rows).collect()} == {"Table<T>::method": "yes"}
-    assert specs.completion(specs.tracked(rows)).first().asDict() == {"total": 1, "proved": 1, "percent": 100}
+    assert {r["function"]: r["has_proof"] for r in specs.tracked(rows).collect()} == {"Table<T>::method": "yes", "act": "yes"}
+    assert specs.completion(specs.tracked(rows)).first().asDict() == {"total": 2, "proved": 2, "percent": 100}
     assert specs.names(rows).first()["name"] == "act"
     assert rows.select(specs.math_interpretation(F.col("doc_comment")).alias("m")).where("m <> ''").first()["m"] == "mod(a, n) = a % n"
 
