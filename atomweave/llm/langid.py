@@ -24,7 +24,7 @@ from atomweave.llm.words import LOWER
 
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 TRAIN_ROWS, TRAIN_WINDOWS = 6_000, 3
-EPOCHS, BATCH, RATE = 4, 64, 4e-3
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 500, 64, 4e-3
 UNKNOWN = "und"
 
 
@@ -42,7 +42,7 @@ class Network:
         """Adam on cross-entropy; x: windows of bytes."""
         rng = np.random.default_rng(seed)
         m, s, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(x)))):
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 t += 1
