@@ -287,7 +287,7 @@ def test_recordings_align(spark):
     hits = {(r["vec_id"], r["match_class"]): r for r in got if r["match_class"] is not None}
     assert set(hits) == {(0, 0), (20, 40), (40, 20)} and hits[(0, 0)]["copies"] == 2
     assert hits[(40, 20)]["offset"] == 16 * 384 // media.HOP and hits[(40, 20)]["bit_error"] < 0.25
-    assert len(rows_of(spark.createDataFrame(got))) == 34
+    assert len({r["vec_id"] for r in got}) == 34
     assert media.fingerprint(media.chroma(*media.samples(b"not audio"))).size == 0
 
 
