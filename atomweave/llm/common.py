@@ -28,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches of whole texts have fewer rows than Spark's default, unless the session already says how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import BROADCAST_ROWS, slices, staged, utf8
+from atomweave.llm.common import BROADCAST_ROWS, slices, small_batches, staged, utf8
 from atomweave.llm.graph import components
 from atomweave.llm.words import SPACED, bounds, mix, shingles, words
 
@@ -163,7 +163,7 @@ def contested(docs: DataFrame, late: np.ndarray, fragments: int, k: int, percent
                 if len(flat):
                     held.append((_keys(flat, _fragment(flat, late, fragments)), np.repeat(batch.column(1).to_numpy(), [len(x) for x in first])))
                     size += len(flat)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield packed()
                     size = 0
         if held:
@@ -236,6 +236,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row; the key is a whole number."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     told = staged(summarize(docs, "id", "t", k))
     rows = told.where(F.col("class").isNull()).drop("class")
