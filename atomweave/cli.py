@@ -59,6 +59,9 @@ def specify(spark: SparkSession, a: argparse.Namespace) -> int:
     sinks.write_text(sinks.dictionary(out, "code_name", columns + (["spec_labels"] if rules is not None else [])), a.output)
     if rules is not None:
         print(specs.coverage(out).first().asDict())
+        if a.explain:
+            for r in specs.explained(out, rules, stop).orderBy("code_name", "pos").toLocalIterator():
+                print(f"{r['code_name']}  {'MATCHED' if r['matched'] else 'missed'} {r['label']}" + (f" (failed: {', '.join(r['failed'])})" if r["failed"] else ""), file=sys.stderr)
     return 0
 
 
@@ -127,7 +130,7 @@ def parser() -> argparse.ArgumentParser:
     log = [(["--from-file"], {"required": True}), (["--exit-code"], {"type": int, "default": 0})]
     add("atomize", atomize, "atoms.json", *graph, (["--with-locations"], yes))
     add("list-functions", list_functions, None, (["path"], {}), (["--format"], {"choices": ["text", "json", "detailed"], "default": "text"}), (["--exclude-verus-constructs"], yes), (["--exclude-methods"], yes))
-    add("specify", specify, "specs.json", (["src"], {}), (["-a", "--with-atoms"], {"required": True}), (["--taxonomy-config"], {}))
+    add("specify", specify, "specs.json", (["src"], {}), (["-a", "--with-atoms"], {"required": True}), (["--taxonomy-config"], {}), (["--explain"], yes))
     add("verify", verify, "proofs.json", (["project"], {}), (["-a", "--with-atoms"], {}), (["--verify-only-module"], {}), (["--verify-function"], {}), *log)
     add("specs-data", specs_data, "specs_data.json", (["src"], {}), (["--entrypoints"], {}), *link)
     add("tracked-csv", tracked_csv, "tracked.csv", (["src"], {}), (["--unquoted"], yes), *link)

@@ -109,3 +109,24 @@ def tracked(functions: DataFrame, base_url: str = "", prefix: str = "") -> DataF
 def completion(rows: DataFrame) -> DataFrame:
     done = F.count_if(F.col("has_proof") == "yes")
     return rows.agg(F.count("*").alias("total"), done.alias("proved"), text.percent(done, F.count("*")).alias("percent"))
+
+
+def explained(functions: DataFrame, rule_rows: DataFrame, stop_words: list[str], key: str = "code_name") -> DataFrame:
+    """(key, pos, label, matched, failed): for functions that some rule matches or that have a specification, each rule
+    with the criteria that failed."""
+    judged = rules.without_stop_words(functions, stop_words)
+    told = rules.explain(judged, rule_rows, [key])
+    by_rule = told.groupBy(key, "pos", "label").agg(F.bool_and("passed").alias("matched"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("criterion")))).alias("failed"))
+    wanted = by_rule.where("matched").select(key).union(functions.where("specified").select(key)).distinct()
+    return by_rule.join(wanted, key, "left_semi")
+
+
+def match_tracked(tracked_rows: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Tracked rows (function, module) with the code_name of their atom, null if there is none: one of that name in a module
+    of that name, else one of that name whose code name holds the module's (the least of several)."""
+    rows = tracked_rows.select("function", "module", F.regexp_replace(F.substring_index("function", "(", 1), "^.*::", "").alias("method"), F.substring_index("module", "::", -1).alias("last"))
+    own = atoms.select(F.regexp_replace("display_name", "^.*::", "").alias("method"), "code_name", F.substring_index("code_module", "/", -1).alias("in_module"))
+    exact = F.col("in_module") == F.col("last")
+    met = rows.join(own, "method").where(exact | F.contains("code_name", F.col("last")))
+    best = met.groupBy("function", "module").agg(F.min(F.struct((~exact).alias("loose"), "code_name")).alias("b")).select("function", "module", F.col("b.code_name").alias("code_name"))
+    return tracked_rows.join(best, ["function", "module"], "left")

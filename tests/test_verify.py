@@ -162,6 +162,17 @@ def test_rules(spark, tmp_path):
     assert told[("functional-correctness", "mode")] is False and told[("functional-correctness", "ensures_calls_contain")] is True
 
 
+def test_explained_and_tracked_matches(spark, tmp_path):
+    (tmp_path / "r.toml").write_text(RULES)
+    table, stop = documents.read_rules(spark, str(tmp_path / "r.toml"))
+    df = spark.createDataFrame([("p", "a", "proof", True, True, ["x_to_nat"]), ("q", "b", "exec", False, False, ["f"])], "code_name string, name string, mode string, has_ensures boolean, specified boolean, ensures_calls array<string>")
+    got = {r["label"]: (r["matched"], r["failed"]) for r in specs.explained(df, table, stop).collect()}
+    assert got == {"data-invariant": (False, ["ensures_calls_contain"]), "functional-correctness": (False, ["mode"]), "memory-safety": (False, ["ensures_calls_empty", "mode"])}
+    tracked = spark.createDataFrame([("S::hash(&[u8])", "c::scalar"), ("enc(x)", "c::deep"), ("gone", "c::x")], "function string, module string")
+    atoms = spark.createDataFrame([("S::hash", "probe:c/1/scalar/S#hash()", "scalar"), ("hash", "probe:c/1/a/hash()", "a"), ("enc", "probe:c/1/other/deep_enc()", "other")], "display_name string, code_name string, code_module string")
+    assert {r["function"]: r["code_name"] for r in specs.match_tracked(tracked, atoms).collect()} == {"S::hash(&[u8])": "probe:c/1/scalar/S#hash()", "enc(x)": "probe:c/1/other/deep_enc()", "gone": None}
+
+
 def test_small_readers(spark, tmp_path):
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "one.md").write_text('---\ncode-line: 12\ncode-path: "src/a.rs"\n---\ntext')
