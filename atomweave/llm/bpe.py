@@ -34,7 +34,7 @@ LEXICON_WORDS = 40_000
 #: A longer word isn't kept in the lexicon, and is merged with a heap.
 LONG_WORD = 48
 #: Entries of a worker's word memory before it starts anew.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 500_000
 
 #: Fixed value: how byte-level BPE of this vocabulary splits text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -334,7 +334,7 @@ def word_counts(docs: DataFrame, payload, text: str = "text") -> DataFrame:
                     for run, _ in runs(v, t) if t else ():
                         first[run[0]] += 1
                         seen.update(run[1:])
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     yield sums()
         yield sums()
 

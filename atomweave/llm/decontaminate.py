@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index of each shard of the training text.
 
-A shard (some MB of whole documents) becomes a sequence of symbols: words of the benchmark by number, every other
+A shard (about a MB of whole documents) becomes a sequence of symbols: words of the benchmark by number, every other
 word and every document end a separator of its own.  Its suffix array is sorted by prefix doubling, where separators
 end every comparison; the Burrows-Wheeler transform is held in a wavelet matrix whose ranks answer all backward
 steps of all phrases at once.  Occurrences are found by stepping back to sampled suffix positions, and the words they
@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import slices, utf8
+from atomweave.llm.common import slices, small_batches, utf8
 from atomweave.llm.words import ALNUM, bounds, words
 
 #: Consecutive words of a phrase.
 WIDTH = 13
 #: Bytes of text in a shard of the index, and rows between kept suffix positions.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 8
 #: Benchmark items searched in one pass; that bounds what is broadcast.
 BLOCK_ITEMS = 20_000
@@ -215,6 +215,7 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, table) -> tuple[np.ndarr
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """key, n_words, spans (array of first and end word) and items (array of item ids as text, sorted as text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
     ranged = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))

@@ -163,7 +163,7 @@ def contested(docs: DataFrame, late: np.ndarray, fragments: int, k: int, percent
                 if len(flat):
                     held.append((_keys(flat, _fragment(flat, late, fragments)), np.repeat(batch.column(1).to_numpy(), [len(x) for x in first])))
                     size += len(flat)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield packed()
                     size = 0
         if held:
