@@ -151,14 +151,14 @@ def asof_closest_above(t):
     return joins.asof_backward(t("events").select("user_id", "event_id", "ts"), s, ["user_id"], "ts", "start", ["o_orderkey"]).select("event_id", "o_orderkey")
 
 
-@query("""WITH c AS (SELECT DISTINCT a.p_partkey AS call, a.p_brand AS hint, b.p_partkey AS impl, b.p_brand AS brand FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey <> b.p_partkey),
-    n AS (SELECT *, count(*) FILTER (brand = hint) OVER (PARTITION BY call) AS k FROM c)
-    SELECT call, impl FROM n WHERE k <> 1 OR brand = hint""")
+@query("""WITH i AS (SELECT DISTINCT l_partkey AS call, l_suppkey AS impl, s_nationkey AS near FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+    n AS (SELECT i.*, p_size % 25 AS hint, count(*) FILTER (near = p_size % 25) OVER (PARTITION BY call) AS k FROM i JOIN part ON p_partkey = call)
+    SELECT call, impl FROM n WHERE k <> 1 OR near = hint""")
 def fanout_resolve(t):
-    part = t("part")
-    a = part.select("p_name", F.col("p_partkey").alias("call"), F.col("p_brand").alias("hint"))
-    b = part.select("p_name", F.col("p_partkey").alias("impl"), F.col("p_brand").alias("brand"))
-    return joins.resolve(a.join(b, "p_name").where("call <> impl").distinct(), ["call"], F.col("brand") == F.col("hint")).select("call", "impl")
+    """A part's suppliers are the candidates; their number doesn't grow with the tables."""
+    impl = t("lineitem").select(F.col("l_partkey").alias("call"), F.col("l_suppkey").alias("impl")).distinct().join(t("supplier").select(F.col("s_suppkey").alias("impl"), F.col("s_nationkey").alias("near")), "impl")
+    calls = impl.join(t("part").select(F.col("p_partkey").alias("call"), (F.col("p_size") % 25).alias("hint")), "call")
+    return joins.resolve(calls, ["call"], F.col("near") == F.col("hint")).select("call", "impl")
 
 
 @query("""WITH m AS (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) AS distance, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_name) AS rn FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 500)
