@@ -14,6 +14,8 @@ with the results' are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,9 +221,8 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
     ranged = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
-    blocks = _blocks(ranged)
     parts = []
-    for names, texts in blocks:
+    for names, texts in _blocks(ranged):
         shared = spark.sparkContext.broadcast((names, *phrase_table(texts, width)))
 
         def run(batches, shared=shared):
@@ -250,16 +251,17 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame) -> list[tuple[list[str], list[str | None]]]:
-    """Items in blocks of at most BLOCK_ITEMS, read one block at a time; at least one block, be it empty."""
-    out, names, texts = [], [], []
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[str], list[str | None]]]:
+    """Items in blocks of at most BLOCK_ITEMS, read as they are asked for; at least one block, be it empty."""
+    names, texts, given = [], [], False
     for r in benchmark.orderBy("i", "t").toLocalIterator():
         names.append(r["i"])
         texts.append(r["t"])
         if len(names) == BLOCK_ITEMS:
-            out.append((names, texts))
-            names, texts = [], []
-    return [*out, (names, texts)] if names or not out else out
+            yield names, texts
+            names, texts, given = [], [], True
+    if names or not given:
+        yield names, texts
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
