@@ -134,6 +134,15 @@ def test_jaccard_equals_brute_force(spark, docs, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_without_broadcasts(spark, monkeypatch):
+    base = prose(30, 90)
+    rows = [(i, " ".join(base[: 90 - i] + prose(40 + i, i))) for i in range(0, 24, 2)] + [(100, None), (101, " ".join(prose(99, 50)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(jaccard, "CONTESTED_ROWS", -1)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()} == plain_components(dict(rows))
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
