@@ -264,6 +264,18 @@ def test_repeated_passages(spark, docs, none):
     assert substring.repeats(none).count() == 0 and substring.strip(none).count() == 0
 
 
+def test_near_passages_are_candidates(spark):
+    """Passages of 52 words of which the middle one differs (similarity 0.81) share no run of RUN shingles."""
+    rows = []
+    for i in range(400):
+        passage = prose(10_000 + i, 52, 10**6)
+        rows.append((2 * i, " ".join(prose(20_000 + i, 80, 10**6) + passage + prose(30_000 + i, 80, 10**6))))
+        passage[26] = "changed"
+        rows.append((2 * i + 1, " ".join(prose(40_000 + i, 60, 10**6) + passage + prose(50_000 + i, 90, 10**6))))
+    found = {(r["doc_id"], r["other_id"]) for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(400)} and len(found) >= 396
+
+
 def test_compact_windows_equal_their_definition():
     rng = np.random.default_rng(0)
     for _ in range(100):
