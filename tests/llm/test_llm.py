@@ -276,6 +276,25 @@ def test_near_passages_are_candidates(spark):
     assert found <= {(2 * i + 1, 2 * i) for i in range(400)} and len(found) >= 396
 
 
+def test_near_passages_are_whole():
+    shingled = lambda *parts: np.concatenate([np.asarray(p, np.uint64) for p in parts])
+    new = iter(np.arange(10**6, 2 * 10**6).reshape(-1, 100))
+    run = lambda n: next(new)[:n]
+    # eight words changed in the middle of a hundred: 84 of 108 shingles are common
+    a, b = run(42), run(42)
+    x, y = shingled(run(30), a, run(12), b, run(30)), shingled(run(70), a, run(12), b, run(9))
+    assert substring.passages(x, y) == [(30, 125, 70, 165, 84 / 108)]
+    # a passage of which one shingle each twelve goes on
+    core, on = run(60), [run(1) for _ in range(12)]
+    x, y = (shingled(run(20), core, *[p for o in on for p in (run(11), o)]) for _ in range(2))
+    (r,) = substring.passages(x, y)
+    assert r[0] == 20 and r[1] >= 79 and r[4] >= 0.75
+    # one stray shingle that y holds elsewhere doesn't split a passage
+    a, b, stray = run(24), run(24), run(1)
+    x, y = shingled(run(5), a, run(2), stray, run(2), b, run(5)), shingled(run(5), a, run(5), b, run(20), stray, run(50))
+    assert [r[:4] for r in substring.passages(x, y)] == [(5, 57, 5, 57)]
+
+
 def test_compact_windows_equal_their_definition():
     rng = np.random.default_rng(0)
     for _ in range(100):
