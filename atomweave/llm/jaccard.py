@@ -4,22 +4,26 @@ The universe of shingles has one global order: those that many documents hold (b
 corpus) come last, all others by hash.  The order is cut into fragments; what a document holds of each fragment of its
 prefix is counted apart, and overlaps are summed per pair.  A pair as similar as asked shares at least
 ``min(p_a - a, p_b - b) + o`` prefix shingles (p: prefix, a and b: set sizes, o: least overlap), so a pair whose sum
-stays below that is dropped; the others are compared exactly on their whole texts.
+stays below that is dropped; the others are compared exactly on their whole texts.  Two sets meet only if the parities
+of their shingles in BITS classes allow the overlap: where those differ, at least one set has a shingle of its own.
 
 Large groups never become all pairs.  Equal sets are one class from the start.  A light first round links sets to the
-least and greatest holder of their rarest shingles and verifies those links; in the fragments only shingles that two
+least and greatest holder of their least hashes and verifies those links; in the fragments only shingles that two
 *different* components hold still count, and of these the component that holds one most often isn't paired with itself.
 No link between sets of different components is lost that way, so components are exact.
 
 Shingle and set identities are 64-bit hashes.  Defined results: null, empty and wordless texts have n_shingles 0 and
-are linked with nothing (their own component); fewer words than a shingle are one shingle; repeated rows are answered
-each.  Ties do not arise: a class is named by its least key.  Columns beyond key and text aren't looked at.
+are linked with nothing (their own component); fewer words than a shingle are one shingle; texts of any length count
+whole; an empty table gives an empty result.  Repeated rows are answered each; rows that repeat a key are one document,
+so its texts share a component.  A row without a key is answered with its n_shingles and a null component and linked
+with nothing.  Ties do not arise: a class is named by its least key.  Columns beyond key and text aren't looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +33,10 @@ from atomweave.llm.words import SPACED, bounds, mix, shingles, words
 
 #: Words of a shingle, and similarity in hundredths.
 SHINGLE, PERCENT = 5, 75
-#: Classes over which shingle frequency is summed, rarest shingles for the first round, postings of a fragment.
+#: Classes over which shingle frequency is summed, least hashes for the first round, postings of a fragment.
 CLASSES, RAREST, FRAGMENT_ROWS = 1 << 16, 8, 500_000
+#: Parities kept of a set; whole 64-bit integers of them.
+BITS = 512
 #: Contested shingles that are broadcast; more of them are joined by a shuffle.
 CONTESTED_ROWS = 1_500_000
 
@@ -82,7 +88,7 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, k: int, per
         for whole in batches:
             for batch in slices(whole, "tx"):
                 left, names = sets_of(batch, "tx", k), batch.column(1).to_pylist()
-                fresh = [i for i, y in enumerate(names) if not i or y != names[i - 1]]  # rows come sorted by y
+                fresh = changes(names, batch.column(3))  # rows come sorted by y
                 right = sets_of(batch.take(pa.array(fresh)), "ty", k)
                 which = np.searchsorted(fresh, np.arange(len(names)), "right") - 1
                 keep = []
@@ -96,6 +102,12 @@ def verified(docs: DataFrame, pairs: DataFrame, key: str, text: str, k: int, per
     return both.mapInArrow(run, both.select("x", "y").schema)
 
 
+def changes(names: list, column: pa.Array) -> list[int]:
+    """The rows whose name or text isn't that of the row before."""
+    same = pc.equal(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_pylist()
+    return [i for i, y in enumerate(names) if not i or y != names[i - 1] or not same[i - 1]]
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if not len(a) or not len(b):
@@ -122,6 +134,14 @@ def _prefixes(sets: list[np.ndarray], late: np.ndarray, percent: int) -> list[np
     return out
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set a row of BITS / 64 integers: whether it has an odd number of shingles in each class."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    flat = mix(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    odd = np.bincount(row * BITS + (flat >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(sets) * BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), BITS // 64)
+
+
 def _fragment(h: np.ndarray, late: np.ndarray, fragments: int) -> np.ndarray:
     """Fragments are ranges of hashes; the ranges of late shingles follow those of all others."""
     own = ((h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
@@ -196,7 +216,7 @@ def contested(docs: DataFrame, late: np.ndarray, fragments: int, k: int, percent
 
 
 def postings(docs: DataFrame, late: np.ndarray, fragments: int, k: int, percent: int, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """(key, main, id, comp, n) of prefix shingles; with ``wanted`` (keys, mains) only of these."""
+    """(key, main, id, comp, n, p0, p1, ...) of prefix shingles, with the parities of their sets; with ``wanted`` (keys, mains) only of these."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((late, wanted))
 
@@ -217,16 +237,22 @@ def postings(docs: DataFrame, late: np.ndarray, fragments: int, k: int, percent:
                     hit = wanted[0][at] == key if len(wanted[0]) else np.zeros(len(key), bool)
                     key, main, row = key[hit], wanted[1][at[hit]], row[hit]
                 n = np.array([len(x) for x in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, main, batch.column(2).to_numpy()[row], batch.column(1).to_numpy()[row], n[row])], ["key", "main", "id", "comp", "n"])
+                odd = parities(sets)[row]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, main, batch.column(2).to_numpy()[row], batch.column(1).to_numpy()[row], n[row], *odd.T)], names)
 
-    return docs.select("t", "comp", "id").mapInArrow(run, "key long, main long, id long, comp long, n long")
+    names = ["key", "main", "id", "comp", "n", *(f"p{i}" for i in range(BITS // 64))]
+    return docs.select("t", "comp", "id").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of different components whose partial overlaps, summed over all fragments, reach their bound."""
-    a = rows.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-    b = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), (F.col("comp") == F.col("main")).alias("in_main"))
+    own = range(BITS // 64)
+    a = rows.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), *(F.col(f"p{i}").alias(f"x{i}") for i in own))
+    b = rows.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), (F.col("comp") == F.col("main")).alias("in_main"), *(F.col(f"p{i}").alias(f"y{i}") for i in own))
     near = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    # each class whose parities differ has a shingle that one of the two lacks
+    apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in own), F.lit(0))
+    near &= apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
     met = a.join(b, (a["key"] == b["key"]) & (F.col("cx") != F.col("cy")) & near & (F.col("in_main") | (F.col("x") < F.col("y"))))
     summed = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("k"), F.max(F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny"))).alias("a"), F.max(F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx"))).alias("b"))
     least = F.ceil((F.col("a") + F.col("b")) * percent / (100.0 + percent) - 1e-9)
@@ -239,7 +265,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     told = staged(summarize(docs, "id", "t", k))
+    docs = docs.where("id IS NOT NULL")
     rows = told.where(F.col("class").isNull()).drop("class")
+    full = rows.where("n > 0 AND id IS NOT NULL")
     sums = told.where(F.col("class").isNotNull()).groupBy("class").agg(F.sum("n").alias("n"))
     total = sums.agg(F.sum("n")).first()[0] or 0
     mean = total / CLASSES
@@ -247,7 +275,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     late = np.zeros(CLASSES, np.uint8)
     for r in sums.where(F.col("n") > most).collect():
         late[r["class"]] = min(63, 1 + int(4 * np.log2(r["n"] / most)))
-    sets = staged(rows.where("n > 0").groupBy("s", "n").agg(F.min("id").alias("id"), F.min("rarest").alias("rarest")))
+    sets = staged(full.groupBy("s", "n").agg(F.min("id").alias("id"), F.min("rarest").alias("rarest")))
 
     # the first round: links to the least and the greatest holder of rare shingles
     rare = sets.select("id", "n", F.explode("rarest").alias("h"))
@@ -258,9 +286,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     groups = staged(components(linked))
 
     # the fragments: one document of each set, with its component
-    copies = rows.where("n > 0").select("id", "s", "n").join(sets.select("s", "n", F.col("id").alias("rep")), ["s", "n"])
-    copies = staged(copies.select("id", "rep"))
-    notes = copies.where("id <> rep").select("id", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("copy")).distinct().unionByName(groups.select("id", F.col("component").alias("comp"), F.lit(False).alias("copy")))
+    copies = full.select("id", "s", "n").distinct().join(sets.select("s", "n", F.col("id").alias("rep")), ["s", "n"])
+    each = staged(copies.select("id", "rep"))
+    copies = staged(each.groupBy("id").agg(F.min("rep").alias("rep"), F.count("*").alias("texts")))
+    # a key of several texts is linked with what each of them is a copy of
+    alike = each.join(copies.where("texts > 1").select("id"), "id", "left_semi").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+    notes = copies.where("id <> rep AND texts = 1").select("id", F.lit(None).cast("long").alias("comp"), F.lit(True).alias("copy")).unionByName(groups.select("id", F.col("component").alias("comp"), F.lit(False).alias("copy")))
     notes = staged(notes)
     few = notes.count() <= BROADCAST_ROWS
     own = docs.join(F.broadcast(notes) if few else notes, "id", "left").where(~F.coalesce("copy", F.lit(False))).select("id", F.coalesce("comp", "id").alias("comp"), "t")
@@ -275,8 +306,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     else:
         shown = postings(own, late, fragments, k, percent, None).drop("main").join(open_, "key")
     more = verified(docs, staged(candidates(staged(shown), percent)), "id", "t", k, percent)
-    final = components(staged(linked.unionByName(more)))
-    named = copies.distinct().join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    final = components(staged(linked.unionByName(more).unionByName(alike)))
+    named = copies.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     return rows.select("id", "n").join(named, "id", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 

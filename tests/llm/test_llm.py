@@ -143,6 +143,33 @@ def test_jaccard_without_broadcasts(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()} == plain_components(dict(rows))
 
 
+def test_jaccard_of_a_large_group_and_of_awkward_keys(spark):
+    """Near copies of one text, more and less similar; rows without a key, repeated keys, clashing columns."""
+    base, rng, rows = prose(30, 80), np.random.default_rng(5), []
+    for i in range(500):
+        w = list(base)
+        for at in rng.integers(0, 80, 1 + i % 6):
+            w[at] = f"n{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(900, " ".join(prose(31, 40))), (901, " ".join(prose(32, 40)))]
+    got = jaccard.join(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, comp int"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == plain_components(dict(rows))
+    # 901 names two texts, so their links meet; 950 has no key's rows to link; a repeated row is answered twice
+    odd = [(900, rows[500][1]), (901, rows[501][1]), (901, rows[500][1]), (902, rows[501][1]), (None, rows[500][1]), (None, None), (903, None), (903, None), (904, "a b"), (904, "a b")]
+    got = sorted(map(tuple, jaccard.join(spark.createDataFrame(odd, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(900, 36, 900), (901, 36, 900), (901, 36, 900), (902, 36, 900), (None, 36, None), (None, 0, None), (903, 0, 903), (903, 0, 903), (904, 1, 904), (904, 1, 904)], key=str)
+    assert sorted(r["doc_id"] or -1 for r in jaccard.distinct(spark.createDataFrame(odd, "doc_id long, text string")).collect()) == [-1, -1, 900, 903, 903, 904, 904]
+
+
+def test_parities_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64)) for n in rng.integers(0, 900, 40)]
+    odd = jaccard.parities(sets)
+    for i, a in enumerate(sets):
+        for b, o in zip(sets[:i], odd):
+            assert sum(int(x).bit_count() for x in (odd[i] ^ o).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
