@@ -170,13 +170,13 @@ def nearest_within_tolerance(t):
 
 
 @query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages),
-    q AS (SELECT DISTINCT regexp_extract(path, '[^/]+/[^/]+$') AS wanted FROM p WHERE page_id % 3 = 0),
+    q AS (SELECT DISTINCT regexp_extract(path, '[^/]+/[^/]+$') AS wanted FROM p),
     f AS (SELECT *, regexp_extract(wanted, '[^/]*$') AS file FROM q WHERE wanted <> ''),
     s AS (SELECT page_id, wanted, CASE WHEN path = wanted THEN 3 WHEN ends_with(path, '/' || wanted) OR ends_with(wanted, '/' || path) THEN 2 ELSE 1 END AS score FROM p JOIN f ON regexp_extract(path, '[^/]*$') = file WHERE file <> '')
     SELECT page_id, wanted, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, wanted) AS rn FROM s) WHERE rn = 1""")
 def path_suffix_score(t):
     p = t("pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
-    q = p.where("page_id % 3 = 0").select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("wanted")).distinct().where("wanted <> ''")
+    q = p.select(F.regexp_extract("path", "[^/]+/[^/]+$", 0).alias("wanted")).distinct().where("wanted <> ''")
     return paths.best_match(p, q, "page_id", "path", "wanted").select("page_id", "wanted", big("score"))
 
 
@@ -212,7 +212,7 @@ RULES = [
     dict(label="licensed", name_contains=["Licensed under", "Copyright"]),
     dict(label="long-prose", mode=["de", "es"], has_ensures=True, path_contains=["1", "2"]),
     dict(label="and-ends", ensures_calls_contain=["and", "und"], mode=["en", "de"]),
-    dict(label="empty-head", ensures_calls_empty=True),
+    dict(label="no-long-words", ensures_calls_empty=True),
 ]
 USED = ["mode", "name_contains", "path_contains", "has_ensures", "ensures_calls_contain", "ensures_calls_empty"]
 
@@ -223,14 +223,14 @@ def _rules(spark):
 
 
 def _documents_as_functions(t):
-    head = F.filter(F.slice(F.split("text", " "), 1, 12), lambda w: F.length(w) > 6)
-    return t("documents").select("doc_id", F.col("lang").alias("mode"), F.col("text").alias("name"), F.col("source").alias("file"), (F.length("text") > 2000).alias("has_ensures"), head.alias("ensures_calls"))
+    calls = F.filter(F.split("text", " "), lambda w: F.length(w) > 6)
+    return t("documents").select("doc_id", F.col("lang").alias("mode"), F.col("text").alias("name"), F.col("source").alias("file"), (F.length("text") > 2000).alias("has_ensures"), calls.alias("ensures_calls"))
 
 
-_DOCS_SQL = "d AS (SELECT doc_id, lang AS mode, text AS name, source AS file, length(text) > 2000 AS has_ensures, list_filter(string_split(text, ' ')[1:12], lambda w: length(w) > 6) AS calls FROM documents)"
+_DOCS_SQL = "d AS (SELECT doc_id, lang AS mode, text AS name, source AS file, length(text) > 2000 AS has_ensures, list_filter(string_split(text, ' '), lambda w: length(w) > 6) AS calls FROM documents)"
 _RULE_SQL = """r AS (SELECT doc_id, unnest([mode IN ('en', 'fr') AND has_ensures, contains(name, 'Licensed under') OR contains(name, 'Copyright'),
     mode IN ('de', 'es') AND has_ensures AND (contains(file, '1') OR contains(file, '2')),
-    len(list_filter(calls, lambda c: contains(c, 'and') OR contains(c, 'und'))) > 0 AND mode IN ('en', 'de'), len(calls) = 0]) AS ok, unnest(['long-prose', 'licensed', 'long-prose', 'and-ends', 'empty-head']) AS label, unnest(range(5)) AS pos FROM d)"""
+    len(list_filter(calls, lambda c: contains(c, 'and') OR contains(c, 'und'))) > 0 AND mode IN ('en', 'de'), len(calls) = 0]) AS ok, unnest(['long-prose', 'licensed', 'long-prose', 'and-ends', 'no-long-words']) AS label, unnest(range(5)) AS pos FROM d)"""
 
 
 @query(f"WITH {_DOCS_SQL}, {_RULE_SQL} SELECT doc_id, coalesce(string_agg(label, ',' ORDER BY pos) FILTER (ok), '') AS labels FROM r GROUP BY doc_id")
@@ -262,12 +262,12 @@ def contains_refs(t):
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, (l_suppkey * 13 + l_partkey) % (SELECT count(*) FROM part) AS dst FROM lineitem),
-    r(id) AS (SELECT p_partkey FROM part WHERE p_size = 1 AND p_partkey % 7 = 0 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)
+    r(id) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)
     SELECT id FROM r""")
 def reach(t):
     n = t("part").agg(F.count("*").alias("n"))
     e = t("lineitem").select("l_partkey", "l_suppkey").distinct().join(F.broadcast(n)).select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 13 + F.col("l_partkey")) % F.col("n")).alias("dst"))
-    return closure.reachable(t("part").where("p_size = 1 AND p_partkey % 7 = 0").select(F.col("p_partkey").alias("id")), e)
+    return closure.reachable(t("part").where("p_size = 1").select(F.col("p_partkey").alias("id")), e)
 
 
 QUERIES["closure"], ORACLES["closure"] = QUERIES.pop("reach"), ORACLES.pop("reach")
