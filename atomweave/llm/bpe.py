@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +34,22 @@ from atomweave.llm.common import ship, slices, staged
 LEXICON_WORDS = 40_000
 #: A longer word isn't kept in the lexicon, and is merged with a heap.
 LONG_WORD = 48
-#: Entries of a worker's word memory before it starts anew.
-MEMORY_WORDS = 500_000
+#: Pieces that a worker remembers before it starts anew.
+MEMORY_WORDS = 1_000_000
+#: Bytes of text that are split and counted at once.
+SLICE = 4 << 20
 
 #: Fixed value: how byte-level BPE of this vocabulary splits text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
-def _loose(piece: str) -> bool:
-    """True if white space, or nothing, stands next to the space beside a piece: then that space isn't single."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+def _loose(text: str) -> bool:
+    """True if any space has white space, or nothing, beside it: then it isn't single."""
+    return text[:1] == " " or text[-1:] == " " or "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHER_SPACE)
 
 
 def byte_letters() -> list[str]:
@@ -70,6 +74,10 @@ class Vocabulary:
         self.pieces: dict[int, bytes] = {i: bytes(back[c] for c in token) for token, i in vocab.items() if all(c in back for c in token)}
         self.pieces.update({i: s.encode() for s, i in self.special.items()})
         self.byte_id = np.array([vocab[c] for c in letters], np.int64)
+        self.lengths = np.zeros(max(self.pieces) + 1, np.int64)
+        self.lengths[list(self.pieces)] = [len(x) for x in self.pieces.values()]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(x for _, x in sorted(self.pieces.items())), np.uint8)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.words = regex.compile(WORD_PATTERN)
@@ -265,33 +273,55 @@ def _tools(name: str, payload) -> tuple[Vocabulary, Lexicon | None, dict[str, by
 def pieces(text: str) -> list[str]:
     """Text cut at its single spaces.  All pieces but the first stand for themselves after one space; no word of the
     pattern spans such a cut, so pieces can be split and remembered apart."""
-    cut = text.split(" ")
-    return _SINGLE.split(text) if any(map(_loose, set(cut))) else cut
+    return _SINGLE.split(text) if _loose(text) else text.split(" ")
 
 
 def runs(v: Vocabulary, text: str) -> Iterator[tuple[list[str], int | None]]:
     """The pieces between special tokens, each run with the id of the special token that ends it."""
-    if v.stops is None or not v.stops.search(text):
-        yield pieces(text), None
-        return
-    parts = v.stops.split(text)
+    parts = v.stops.split(text) if v.stops else [text]
     for i in range(0, len(parts), 2):
         yield pieces(parts[i]), v.special[parts[i + 1]] if i + 1 < len(parts) else None
 
 
-def encode_texts(v: Vocabulary, lexicon: Lexicon | None, memory: dict[str, bytes], texts: list[str]) -> list[bytes]:
-    """Ids of texts as little-endian 32-bit integers.  memory: ids of pieces seen before, each with its space."""
-    split = [list(runs(v, t)) for t in texts]
-    if len(memory) > MEMORY_WORDS:
+def plain(v: Vocabulary, text: str) -> bool:
+    """Whether all spaces of a text are single and it has no special token, so that it may be split at its spaces."""
+    return not _loose(text) and not any(s in text for s in v.special)
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of stretches that follow each other: start, start + 1, ... of each."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def _split(column: pa.Array, rows: list[int]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of the texts at ``rows``: a number for every piece, the piece of each number, and the offsets of the texts' pieces."""
+    lists = pc.split_pattern(column.take(pa.array(rows, pa.int64())), " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), lists.offsets.to_numpy().astype(np.int64)
+
+
+def _words(v: Vocabulary, piece: str) -> list[str]:
+    return [piece] if piece[1:].isalpha() and piece.isascii() else v.words.findall(piece)
+
+
+def encode_texts(v: Vocabulary, lexicon: Lexicon | None, memory: dict[str, bytes], column: pa.Array, remember: int = MEMORY_WORDS) -> list[np.ndarray]:
+    """Ids of texts, which aren't null, as little-endian 32-bit integers.  memory: ids of pieces seen before, each with its space."""
+    texts = column.to_pylist()
+    rough = {i: list(runs(v, t)) for i, t in enumerate(texts) if not plain(v, t)}
+    smooth = [i for i in range(len(texts)) if i not in rough]
+    code, names, at = _split(column, smooth)
+    first = np.zeros(len(code), bool)
+    first[at[:-1]] = True
+    heads = dict.fromkeys(names[c] for c in code[first])
+    heads.update(dict.fromkeys(run[0] for text in rough.values() for run, _ in text))
+    if len(memory) > remember:
         memory.clear()
-    seen: set[str] = set()
-    heads = {}
-    for text in split:
-        for run, _ in text:
-            heads[run[0]] = b""
-            seen.update(run[1:])
-    fresh = [w for w in seen if w not in memory]
-    cut = [v.words.findall(" " + w) for w in fresh] + [v.words.findall(w) for w in heads]
+    held = list(map(memory.get, names))
+    inner = np.bincount(code[~first], minlength=len(names)).tolist()
+    new = [i for i, x in enumerate(held) if x is None and inner[i]]
+    fresh = dict.fromkeys(names[i] for i in new)
+    fresh.update((p, None) for text in rough.values() for run, _ in text for p in run[1:] if p not in memory)
+    cut = [_words(v, " " + w) for w in fresh] + [v.words.findall(w) for w in heads]
     words = list({w for c in cut for w in c})
     raw = [w.encode() for w in words]
     found = lexicon.find(raw) if lexicon else [None] * len(raw)
@@ -299,16 +329,33 @@ def encode_texts(v: Vocabulary, lexicon: Lexicon | None, memory: dict[str, bytes
     for i, ids in zip(open_, v.merge([raw[i] for i in open_])):
         found[i] = ids
     ids_of = dict(zip(words, found)).__getitem__
-    made = [b"".join(map(ids_of, c)) for c in cut]
+    made = [ids_of(c[0]) if len(c) == 1 else b"".join(map(ids_of, c)) for c in cut]
     memory.update(zip(fresh, made))
     heads = dict(zip(heads, made[len(fresh) :]))
-    get = memory.__getitem__
-    return [b"".join([heads[run[0]] + b"".join(map(get, run[1:])) + (b"" if stop is None else stop.to_bytes(4, "little")) for run, stop in text]) for text in split]
+    out: list[np.ndarray] = [_NONE] * len(texts)
+    for i, text in rough.items():
+        out[i] = np.frombuffer(b"".join([heads[run[0]] + b"".join([memory[p] for p in run[1:]]) + (b"" if stop is None else stop.to_bytes(4, "little")) for run, stop in text]), "<u4")
+    # the plain ones all at once: ids of numbered pieces, then of the heads
+    number = {name: len(names) + i for i, name in enumerate(heads)}
+    code[first] = [number[names[c]] for c in code[first]]
+    for i in new:
+        held[i] = memory[names[i]]
+    held = [x or b"" for x in held] + list(heads.values())
+    lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    flat = np.frombuffer(b"".join(held), "<u4")[_places((np.cumsum(lengths) - lengths)[code], lengths[code])]
+    ends = np.concatenate([[0], np.cumsum(lengths[code])])[at]
+    for i, a, b in zip(smooth, ends.tolist(), ends[1:].tolist()):
+        out[i] = flat[a:b]
+    return out
+
 
+_NONE = np.zeros(0, "<u4")
 
-def decode_ids(v: Vocabulary, ids: bytes) -> str:
-    """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
-    return b"".join(map(v.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+def decode_ids(v: Vocabulary, ids: np.ndarray) -> bytes:
+    """The text of ids in UTF-8; bytes that aren't UTF-8 become U+FFFD."""
+    raw = v.flat[_places(v.starts[ids], v.lengths[ids])].tobytes()
+    return raw.decode("utf-8", "replace").encode()
 
 
 def word_counts(docs: DataFrame, payload, text: str = "text") -> DataFrame:
@@ -316,24 +363,33 @@ def word_counts(docs: DataFrame, payload, text: str = "text") -> DataFrame:
 
     def count(batches):
         v = _tools("", payload)[0]
-        seen: Counter[str] = Counter()
-        first: Counter[str] = Counter()
+        seen: Counter[str] = Counter()  # pieces, those after a space with it
 
         def sums():
             words: Counter[str] = Counter()
-            for lead, some in ((" ", seen), ("", first)):
-                for piece, n in some.items():
-                    for w in v.words.findall(lead + piece):
-                        words[w] += n
-                some.clear()
+            for piece, n in seen.items():
+                for w in _words(v, piece) if piece[:1] == " " else v.words.findall(piece):
+                    words[w] += n
+            seen.clear()
             return pa.RecordBatch.from_pydict({"word": list(words), "n": list(words.values())}, schema)
 
         for whole in batches:
-            for batch in slices(whole, text):
-                for t in batch.column(0).to_pylist():
-                    for run, _ in runs(v, t) if t else ():
-                        first[run[0]] += 1
-                        seen.update(run[1:])
+            for batch in slices(whole, text, SLICE):
+                column = batch.column(0).fill_null("")
+                texts = column.to_pylist()
+                smooth = []
+                for i, t in enumerate(texts):
+                    if plain(v, t):
+                        smooth.append(i)
+                        continue
+                    for run, _ in runs(v, t):
+                        seen[run[0]] += 1
+                        seen.update([" " + p for p in run[1:]])
+                code, names, at = _split(column, smooth)
+                head = np.bincount(code[at[:-1]], minlength=len(names))
+                for lead, counts in ((" ", np.bincount(code, minlength=len(names)) - head), ("", head)):
+                    for c in np.flatnonzero(counts).tolist():
+                        seen[lead + names[c]] += int(counts[c])
                 if len(seen) > 300_000:
                     yield sums()
         yield sums()
@@ -345,7 +401,8 @@ def word_counts(docs: DataFrame, payload, text: str = "text") -> DataFrame:
 class Codec:
     """Encoder and decoder of one vocabulary with a lexicon compiled from ``docs``."""
 
-    def __init__(self, spark: SparkSession, tokenizer_path: str):
+    def __init__(self, spark: SparkSession, tokenizer_path: str, remember: int = MEMORY_WORDS):
+        self.remember = remember
         with open(tokenizer_path, "rb") as f:
             self._bytes = f.read()
         self.spark, self.payload, self.name = spark, spark.sparkContext.broadcast(self._bytes), ""
@@ -367,7 +424,7 @@ class Codec:
 
     def encode(self, docs: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``docs`` with ``ids``: array<int>."""
-        return self._map(docs, text, {ids: (pa.list_(pa.int32()), T.ArrayType(T.IntegerType(), False))}, lambda v, x: [np.frombuffer(x, "<i4")])
+        return self._map(docs, text, {ids: (pa.list_(pa.int32()), T.ArrayType(T.IntegerType(), False))}, lambda v, x: [x.view("<i4")])
 
     def decode(self, docs: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """``docs`` with the text of ``ids``; null ids give an empty text."""
@@ -377,7 +434,7 @@ class Codec:
             v = _tools(name, payload)[0]
             for batch in batches:
                 at = batch.schema.get_field_index(ids)
-                out = [decode_ids(v, np.array(x or [], "<u4").tobytes()) for x in batch.column(at).to_pylist()]
+                out = [decode_ids(v, np.array(x or [], "<u4")).decode() for x in batch.column(at).to_pylist()]
                 keep = [i for i, n in enumerate(batch.schema.names) if n != text]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(out, pa.string())], [*(batch.schema.names[i] for i in keep), text])
 
@@ -390,17 +447,16 @@ class Codec:
         new = {"n_tokens": (pa.int64(), T.LongType()), "ids_sha256": (pa.string(), T.StringType()), "decoded_sha256": (pa.string(), T.StringType())}
         if ids:
             new[ids] = (pa.list_(pa.int32()), T.ArrayType(T.IntegerType(), False))
-        return self._map(docs, text, new, lambda v, x: [len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(decode_ids(v, x).encode()).hexdigest(), *([np.frombuffer(x, "<i4")] if ids else [])])
+        return self._map(docs, text, new, lambda v, x: [len(x), hashlib.sha256(np.ascontiguousarray(x)).hexdigest(), hashlib.sha256(decode_ids(v, x)).hexdigest(), *([x.view("<i4")] if ids else [])])
 
     def _map(self, docs: DataFrame, text: str, new: dict, row) -> DataFrame:
-        payload, name = self.payload, self.name
+        payload, name, remember = self.payload, self.name, self.remember
 
         def run(batches):
             v, lexicon, memory = _tools(name, payload)
             for whole in batches:
-                for batch in slices(whole, text):
-                    texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                    rows = [row(v, x) for x in encode_texts(v, lexicon, memory, texts)]
+                for batch in slices(whole, text, SLICE):
+                    rows = [row(v, x) for x in encode_texts(v, lexicon, memory, batch.column(batch.schema.get_field_index(text)).fill_null(""), remember)]
                     keep = [i for i, n in enumerate(batch.schema.names) if n not in new]
                     made = [pa.array([r[j] for r in rows], kind) for j, (kind, _) in enumerate(new.values())]
                     yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *made], [*(batch.schema.names[i] for i in keep), *new])
