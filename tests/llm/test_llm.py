@@ -345,16 +345,36 @@ def test_compact_windows_equal_their_definition():
 
 
 def test_recordings_align(spark):
+    """Against comparing all pairs at all offsets."""
     rng = np.random.default_rng(4)
     vectors = {i: rng.normal(0, 0.2, 64).tolist() for i in range(30)}
     vectors[40] = vectors[20][16:] + vectors[21][:16]  # begins 16 notes into 20
     vectors[41] = list(vectors[0])
-    df = spark.createDataFrame([(i, v) for i, v in vectors.items()] + [(60, None), (80, [])], "vec_id long, embedding array<double>")
-    got = media.align(media.fingerprints(media.render(df), "vec_id"), F.col("vec_id") % 20 == 0, "vec_id").collect()
-    hits = {(r["vec_id"], r["match_class"]): r for r in got if r["match_class"] is not None}
-    assert set(hits) == {(0, 0), (20, 40), (40, 20)} and hits[(0, 0)]["copies"] == 2
-    assert hits[(40, 20)]["offset"] == 16 * 384 // media.HOP and hits[(40, 20)]["bit_error"] < 0.25
-    assert len({r["vec_id"] for r in got}) == 34
+    vectors |= {i: (np.array(vectors[3]) + rng.normal(0, 0.004, 64)).tolist() for i in range(100, 140)}  # near copies
+    vectors |= {200: [0.0] * 64, 201: [0.0] * 80}  # steady tones
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in vectors.items()] + [(60, None, "", 0), (80, [], "", 0), (None, vectors[0], "", 0), (41, vectors[41], "", 0)], "vec_id long, embedding array<double>, print string, id int")
+    prints = media.fingerprints(media.render(df), "vec_id")
+    got = media.align(prints, "vec_id").collect()
+    by = {r["vec_id"]: r for r in got}
+    assert len(got) == len(vectors) + 4 and sum(r["vec_id"] == 41 for r in got) == 2
+    assert by[41]["class_id"] == 0 and by[0]["copies"] == 3 and (by[None]["class_id"], by[None]["n_ints"]) == (None, by[0]["n_ints"])
+    assert (by[60]["n_ints"], by[60]["group_id"], by[80]["n_links"]) == (0, 60, 0)
+    assert by[40]["group_id"] == 20 and by[40]["offset"] == 16 * 384 // media.HOP and by[40]["bit_error"] < 0.25 and by[40]["n_links"] == 1
+    arrays = {r["vec_id"]: np.array(r["print"], np.uint64) for r in prints.collect() if r["vec_id"] is not None and r["print"]}
+    names = sorted(arrays)
+    pairs = hit = 0
+    for i in names:
+        for j in names[: names.index(i)]:
+            a, b = arrays[i], arrays[j]
+            half = min(len(a), len(b)) // 2
+            errors = [np.bitwise_count(a[max(-o, 0) :][:n] ^ b[max(o, 0) :][:n]).sum() / (32 * n) for o in range(half - len(a), len(b) - half) if (n := min(len(a) - max(-o, 0), len(b) - max(o, 0))) >= half]
+            if errors and min(errors) <= media.MOST_ERROR:
+                pairs += 1
+                hit += by[i]["group_id"] == by[j]["group_id"]
+            elif by[i]["aligned_with"] == j:
+                raise AssertionError((i, j, min(errors)))
+    assert pairs > 700 and hit >= 0.95 * pairs
+    assert media.align(prints.limit(0), "vec_id").count() == 0
     assert media.fingerprint(media.chroma(*media.samples(b"not audio"))).size == 0
 
 
