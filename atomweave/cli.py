@@ -9,12 +9,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomweave.functions import paths
 from atomweave.plans import callgraph, specs, verifylog
 from atomweave.sources import documents, index, rustsource, sinks
 
 ATOM_COLUMNS = ["display_name", "dependencies", "code_module", "code_path", "lines_start", "lines_end", "mode"]
 
 
+FUNCTION_COLUMNS = ["name", "file", "mode", "kind", "visibility", "context", "specified", "has_requires", "has_ensures", "has_decreases", "has_trusted_assumption", "display_name"]
+
+
 def session() -> SparkSession:
     return SparkSession.builder.appName("atomweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -43,18 +47,31 @@ def list_functions(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.exclude_verus_constructs:
         found = found.where("mode <> 'spec'")
     if a.output or a.format == "json":
-        sinks.write_text(sinks.dictionary(found.withColumn("k", F.concat_ws(":", "file", "lines_start", "name")), "k", ["name", "file", "mode", "kind", "visibility", "context", "specified", "lines_start", "lines_end"]), a.output or "functions.json")
+        columns = [c for c in FUNCTION_COLUMNS if c in found.columns]
+        one = F.struct(*[F.col(c).alias(c.replace("_", "-")) for c in columns], F.struct(F.col("lines_start").alias("lines-start"), F.col("lines_end").alias("lines-end")).alias("spec-text"))
+        by_file = found.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("lines_start", one.alias("f")))).alias("l")).select("file", F.transform("l", lambda x: x["f"]).alias("l"))
+        whole = by_file.agg(F.sort_array(F.collect_list(F.struct("file", "l"))).alias("a")).select(
+            F.to_json(F.struct(
+                F.flatten(F.transform("a", lambda x: x["l"])).alias("functions"), F.map_from_entries(F.transform("a", lambda x: F.struct(x["file"], x["l"]))).alias("functions_by_file"),
+                F.struct(F.aggregate("a", F.lit(0), lambda n, x: n + F.size(x["l"])).alias("total_functions"), F.size("a").alias("total_files")).alias("summary"),
+            )).alias("value")
+        )
+        sinks.write_text(whole, a.output or "functions.json")
     elif a.format == "text":
         print(*[r["name"] for r in specs.names(found).toLocalIterator()], sep="\n")
     else:
         for r in found.orderBy("file", "lines_start").toLocalIterator():
-            print(f"{r['visibility']} {r['kind']} {r['display_name']}  {r['file']}:{r['lines_start']}-{r['lines_end']}")
+            print(f"{r['name']} [{r['kind']}] ({r['visibility']}) @ {r['file']}:{r['lines_start']}:{r['lines_end']} in {r['context']}")
+        n = specs.summary(found).first()
+        print(f"\nSummary: {n['total_functions']} functions in {n['total_files']} files")
     return 0
 
 
 def specify(spark: SparkSession, a: argparse.Namespace) -> int:
     rules, stop = documents.read_rules(spark, a.taxonomy_config) if a.taxonomy_config else (None, None)
-    out = specs.specified(functions(spark, a.src), index.read_atoms(spark, a.with_atoms), rules, stop).cache()
+    found, atoms = functions(spark, a.src), index.read_atoms(spark, a.with_atoms)
+    out = specs.specified(found, atoms, rules, stop).cache()
+    print(specs.matches(found, atoms).first().asDict())
     columns = ["name", "file", "mode", "context", "specified", "has_requires", "has_ensures", "has_decreases", "has_trusted_assumption", "requires_text", "ensures_text", "ensures_calls", "requires_calls", "lines_start", "lines_end"]
     sinks.write_text(sinks.dictionary(out, "code_name", columns + (["spec_labels"] if rules is not None else [])), a.output)
     if rules is not None:
@@ -66,15 +83,32 @@ def specify(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def verify(spark: SparkSession, a: argparse.Namespace) -> int:
-    logs = documents.read_logs(spark, a.from_file, a.exit_code).withColumn("log_id", F.lit("log"))
-    found = functions(spark, a.project).where("name IS NOT NULL AND mode <> 'spec'").withColumn("log_id", F.lit("log"))
+    project, code, path = a.project, a.exit_code, a.from_file
+    if path is None:
+        try:
+            project, code, path = sinks.read_cache(a.data)
+        except OSError:
+            print("no verifier output is given or kept", file=sys.stderr)
+            return 1
+    logs = documents.read_logs(spark, path, code).withColumn("log_id", F.lit("log"))
+    if a.from_file and a.data:
+        sinks.write_cache(a.data, project, a.package, code, Path(path).read_text())
+    found = functions(spark, project).where("name IS NOT NULL AND mode <> 'spec'").withColumn("log_id", F.lit("log"))
     rows, summary = verifylog.analyze(logs, found, a.verify_only_module, a.verify_function)
     state = summary.first().asDict()
     if a.with_atoms:
         sinks.write_text(sinks.dictionary(verifylog.proofs(rows, index.read_atoms(spark, a.with_atoms)), "code_name", ["code_path", "code_line", "verified", "status"]), a.output)
     else:
         listed = {c: [{"display-name": r["name"], "code-path": r["file"], "code-text": {"lines-start": r["lines_start"], "lines-end": r["lines_end"]}} for r in rows.where(F.col("category") == c).orderBy("file", "lines_start").toLocalIterator()] for c in ("failed", "verified", "unverified")}
-        sinks.write_json({"status": state["status"], "summary": {k: v for k, v in state.items() if k not in ("log_id", "status")}, "verification": {f"{c}_functions": x for c, x in listed.items()}}, a.output)
+        errors = verifylog.failures(verifylog.log_lines(logs)).orderBy("pos").select("error_type", "file", F.col("line_number").alias("line"), "column", "message", "assertion_details", "full_error_text")
+        told = verifylog.messages(logs).orderBy("seq").select("level", "message", "file", F.col("line_number").alias("line"), "column", "full_message")
+        said = lambda level: [{k: v for k, v in r.asDict().items() if k != "level"} for r in told.where(F.col("level") == level).toLocalIterator()]
+        sinks.write_json(
+            {
+                "status": state["status"], "summary": {k: v for k, v in state.items() if k not in ("log_id", "status")},
+                "verification": {f"{c}_functions": x for c, x in listed.items()} | {"errors": [r.asDict() for r in errors.toLocalIterator()]}, "compilation": {"errors": said("error"), "warnings": said("warning")},
+            }, a.output,
+        )
     print(state)
     a.status = state["status"]
     return 0 if state["status"] == "success" else 1
@@ -82,14 +116,16 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def specs_data(spark: SparkSession, a: argparse.Namespace) -> int:
     entries = documents.read_entrypoints(spark, a.entrypoints) if a.entrypoints else None
-    spec_rows, done = specs.browser(functions(spark, a.src), entries, a.base_url, a.prefix)
+    found = functions(spark, a.src)
+    spec_rows, done = specs.browser(found, entries, a.base_url, a.prefix or paths.project_prefix(a.src))
+    print(specs.browser_counts(found, spec_rows, done).first().asDict())
     one = spec_rows.agg(F.collect_list(F.struct(*spec_rows.columns)).alias("spec_functions")).crossJoin(done.agg(F.collect_list(F.struct(*done.columns)).alias("verified_functions")))
     sinks.write_text(one.select(F.to_json(F.struct("spec_functions", "verified_functions")).alias("value")), a.output)
     return 0
 
 
 def tracked_csv(spark: SparkSession, a: argparse.Namespace) -> int:
-    rows = specs.tracked(functions(spark, a.src), a.base_url, a.prefix)
+    rows = specs.tracked(functions(spark, a.src), a.base_url, a.prefix or paths.project_prefix(a.src))
     Path(a.output).write_text("\n".join([",".join(rows.columns), *[r["value"] for r in sinks.csv_lines(rows, not a.unquoted).toLocalIterator()]]) + "\n")
     print(specs.completion(rows).first().asDict())
     return 0
@@ -98,6 +134,9 @@ def tracked_csv(spark: SparkSession, a: argparse.Namespace) -> int:
 def stubify(spark: SparkSession, a: argparse.Namespace) -> int:
     found = documents.read_stubs(spark, a.path)
     sinks.write_text(sinks.dictionary(found.where("ok"), "stub", ["code_line", "code_path", "code_name"]), a.output)
+    failed = found.where("NOT ok").count()
+    if failed:
+        print(f"{failed} files without front matter", file=sys.stderr)
     return 0
 
 
@@ -127,7 +166,7 @@ def parser() -> argparse.ArgumentParser:
     yes = {"action": "store_true"}
     link = [(["--base-url"], {"default": ""}), (["--prefix"], {"default": ""})]
     graph = [(["project"], {}), (["--index"], {}), (["--name-match"], {"choices": ["bare", "enriched"], "default": "bare"})]
-    log = [(["--from-file"], {"required": True}), (["--exit-code"], {"type": int, "default": 0})]
+    log = [(["--from-file"], {}), (["--exit-code"], {"type": int, "default": 0}), (["--package"], {}), (["--data"], {"default": "data"})]
     add("atomize", atomize, "atoms.json", *graph, (["--with-locations"], yes))
     add("list-functions", list_functions, None, (["path"], {}), (["--format"], {"choices": ["text", "json", "detailed"], "default": "text"}), (["--exclude-verus-constructs"], yes), (["--exclude-methods"], yes))
     add("specify", specify, "specs.json", (["src"], {}), (["-a", "--with-atoms"], {"required": True}), (["--taxonomy-config"], {}), (["--explain"], yes))

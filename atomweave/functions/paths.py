@@ -68,3 +68,9 @@ def entry_id(module: Column, name: Column, display: Column) -> Column:
 
 def source_link(base: str, path: Column, line: Column) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(path, "^/+", ""), F.lit("#L"), line.cast("string"))
+
+
+def project_prefix(source: str) -> str:
+    """``x/project/src`` -> ``project/src``, the prefix of links into a project; empty for other folders."""
+    parts = source.replace("\\", "/").rstrip("/").split("/")
+    return f"{parts[-2]}/src" if len(parts) > 2 and parts[-1] == "src" else ""

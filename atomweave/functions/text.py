@@ -37,3 +37,11 @@ def percent(part: Column, whole: Column) -> Column:
 
 def without_ansi(c: Column) -> Column:
     return F.regexp_replace(c, "\x1b\\[[0-9;]*m", "")
+
+
+def lines_of(text: str) -> list[str]:
+    """The lines of a text, which end at a line feed (and a carriage return before it), at nothing else."""
+    lines = text.split("\n")
+    if lines and not lines[-1]:
+        lines.pop()
+    return [x.removesuffix("\r") for x in lines]

@@ -47,31 +47,40 @@ def asof_backward(points: DataFrame, starts: DataFrame, keys: Sequence[str], poi
 
 def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, bucket: int | None = None) -> DataFrame:
     """Each point with the shortest span of its key that contains it (then the one that starts first); points in none go.
+    Equal points are worked on once and answered each.
 
     With ``bucket``, spans are cut at its multiples, which spreads keys of many spans; whole numbers only."""
-    on = list(keys)
-    if bucket:
-        points = points.withColumn("__b", F.floor(F.col(point) / bucket))
-        spans = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.col(last) / bucket))))
-        on.append("__b")
-    own = [c for c in spans.columns if c not in on]
+    own, plain = [c for c in spans.columns if c not in keys], points.columns
+    points = points.groupBy(*plain).agg(F.count("*").alias("__times"))
+    points, spans, on = _bucketed(points, spans, keys, point, first, last, bucket)
     best = F.min(F.struct((F.col(last) - F.col(first)).alias("__len"), F.col(first).alias("__first"), F.struct(*own).alias("__own"))).alias("__best")
     inside = points.join(spans, on).where(F.col(point).between(F.col(first), F.col(last)))
-    kept = [c for c in points.columns if c != "__b"]
-    return inside.groupBy(*kept).agg(best).select(*kept, *[F.col(f"__best.__own.`{c}`").alias(c) for c in own])
+    out = inside.groupBy(*plain, "__times").agg(best).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return out.select(*plain, *[F.col(f"__best.__own.`{c}`").alias(c) for c in own])
 
 
-def exact_then_interval(left: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, row: Sequence[str]) -> DataFrame:
-    """Each left row (told apart by ``row``) with the span that starts at its point, else the latest one around it."""
+def _bucketed(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, bucket: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the buckets that they're in, times in seconds, and what to join them on."""
+    if not bucket:
+        return points, spans, list(keys)
+    at = lambda c: F.floor(F.col(c).cast("long") / bucket)
+    return points.withColumn("__b", at(point)), spans.withColumn("__b", F.explode(F.sequence(at(first), at(last)))), [*keys, "__b"]
+
+
+def exact_then_interval(left: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, row: Sequence[str], bucket: int | None = None) -> DataFrame:
+    """Each left row (told apart by ``row``) with the span that starts at its point, else the latest one around it.
+
+    With ``bucket``, spans are cut at its multiples (seconds, if points are times), which spreads keys of many spans."""
     own = [c for c in spans.columns if c not in keys]
-    joined = left.join(spans, list(keys), "left").where(F.col(first).isNull() | F.col(point).between(F.col(first), F.col(last)))
+    points, cut, on = _bucketed(left, spans, keys, point, first, last, bucket)
+    joined = points.join(cut, on).where(F.col(point).between(F.col(first), F.col(last)))
     best = joined.groupBy(*row).agg(F.max(F.struct((F.col(point) == F.col(first)).alias("exact"), *[F.col(c) for c in [first, *[c for c in own if c != first]]])).alias("__s"))
     return left.join(best.select(*row, "__s"), list(row), "left").select(*left.columns, *[F.col(f"__s.`{c}`").alias(c) for c in own], F.col("__s.exact").alias("exact"))
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, tolerance: float, row: Sequence[str], tie: str, span: tuple[str, str] | None = None) -> DataFrame:
+def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, tolerance: float, row: Sequence[str], tie: str, span: tuple[str, str] | None = None, also: Column | None = None) -> DataFrame:
     """Each left row with the right row of its key whose value is nearest and at most ``tolerance`` away (or inside the
-    left row's ``span``); equal distances go to the least ``tie``.
+    left row's ``span``); equal distances go to the least ``tie``.  ``also``: what else must hold of both rows.
 
     Values are cut into bands as wide as the tolerance, so only neighbouring bands meet."""
     own = [c for c in right.columns if c not in keys]
@@ -85,6 +94,8 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     near = distance <= tolerance
     if span is not None:
         near = near | F.col(right_value).between(F.col(span[0]), F.col(span[1]))
+    if also is not None:
+        near = near & also
     best = met.where(near).groupBy(*row).agg(F.min(F.struct(distance.alias("distance"), F.col(tie).alias("__tie"), F.struct(*own).alias("__own"))).alias("__m"))
     return best.select(*row, F.col("__m.distance").alias("distance"), *[F.col(f"__m.__own.`{c}`").alias(c) for c in own])
 
@@ -96,7 +107,29 @@ def resolve(calls: DataFrame, call: Sequence[str], accepted: Column) -> DataFram
 
 
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str) -> DataFrame:
-    """(key, needle_key) of texts that hold a needle literally; needles are few and sent to all tasks (checked)."""
-    small = needles.select(needle_key, needle).where(F.length(needle) > 0)
-    few = small.count() <= 100_000
-    return texts.select(key, text).join(F.broadcast(small) if few else small, F.contains(F.col(text), F.col(needle))).select(key, needle_key)
+    """(key, needle_key) of texts that hold a needle literally; empty needles are in none.
+
+    Texts and needles meet by a seed: the longest word inside a needle, which the text then has as a word; of needles
+    without one, the first letters of their longest part, which stand inside some word of the text.  Whole texts are
+    looked at only where a seed is met."""
+    space = r"[ \t\n\x0B\f\r]+"
+    parts = F.split(needle, space)
+    longest = lambda a: F.aggregate(a, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
+    inner, any_ = longest(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))), longest(parts)
+    seeded = needles.where(F.length(needle) > 0).select(F.col(needle_key), F.col(needle).alias("__needle"), F.when(inner != "", inner).alias("word"), F.substring(any_, 1, 3).alias("gram"))
+    words = texts.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.split(text, space))).alias("word"))
+    hits = words.join(seeded.where("word IS NOT NULL").select("word", needle_key).distinct(), "word").select("__key", needle_key)
+    short = seeded.where("word IS NULL").select("gram", needle_key).distinct()
+    if not short.isEmpty():
+        grams = words.select("__key", F.explode(_grams(F.col("word"))).alias("gram"))
+        hits = hits.unionByName(grams.join(short, "gram").select("__key", needle_key))
+    met = texts.select(F.col(key).alias("__own"), F.col(text).alias("__text")).join(hits.distinct(), F.col("__own").eqNullSafe(F.col("__key")))
+    return met.join(seeded.select(F.col(needle_key).alias("__named"), "__needle"), F.col(needle_key).eqNullSafe(F.col("__named"))).where(F.contains("__text", F.col("__needle"))).select(F.col("__own").alias(key), needle_key)
+
+
+def _grams(word: Column) -> Column:
+    """The distinct runs of up to three letters of a word, the empty one included."""
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(F.array(F.lit("")), runs(1), runs(2), runs(3)))

@@ -122,7 +122,7 @@ def exact_then_interval(t):
     o = t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_orderdate").alias("a"))
     spans = o.select("k", F.col("o_orderkey").alias("span"), "a", (F.col("a") + F.expr("INTERVAL 30 DAYS")).alias("b"))
     p = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at")).join(o.select("k", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-    return joins.exact_then_interval(p, spans.select("k", "a", "span", "b"), ["k"], "at", "a", "b", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "span", "exact")
+    return joins.exact_then_interval(p, spans.select("k", "a", "span", "b"), ["k"], "at", "a", "b", ["l_orderkey", "l_linenumber"], bucket=60 * 86400).select("l_orderkey", "l_linenumber", "span", "exact")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 7 DAY THEN 'precondition' WHEN l_shipdate BETWEEN o_orderdate + INTERVAL 5 DAY AND o_orderdate + INTERVAL 30 DAY THEN 'postcondition' ELSE 'inner' END AS location FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")

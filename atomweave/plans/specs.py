@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atomweave.functions import paths, text
 from atomweave.functions.symbols import LINE_TOLERANCE
-from atomweave.operators import closure, grouping, rules
+from atomweave.operators import closure, grouping, joins, rules
 from atomweave.plans.verifylog import match_atoms
 
 #: How prose begins, and words that don't make a formula prose.
@@ -32,6 +32,13 @@ def is_proved() -> Column:
     return (F.col("specified") | F.col("is_external_body")) & ~(F.col("has_trusted_assumption") | F.col("is_external_body") | F.col("has_no_decreases_attr"))
 
 
+def matches(functions: DataFrame, atoms: DataFrame) -> DataFrame:
+    """One row (matched, unmatched): functions that have an atom and that have none, before those of one atom overwrite each other."""
+    own = catalog(functions)
+    matched = match_atoms(own, atoms, LINE_TOLERANCE).agg(F.count("*").alias("matched"))
+    return own.agg(F.count("*").alias("n")).crossJoin(matched).select("matched", (F.col("n") - F.col("matched")).alias("unmatched"))
+
+
 def specified(functions: DataFrame, atoms: DataFrame, rule_rows: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """The functions that have an atom, keyed by its name (the last one of a name stays), with spec_labels."""
     own = match_atoms(catalog(functions), atoms, LINE_TOLERANCE)
@@ -63,13 +70,16 @@ def references(functions: DataFrame, spec_names: DataFrame) -> DataFrame:
     """(file, lines_start, name, spec): specs that a function calls in its clauses or whose name stands in their text."""
     key = ["file", "lines_start", "name"]
     called = functions.select(*key, F.explode(F.concat("ensures_calls", "requires_calls")).alias("spec")).join(spec_names, "spec", "left_semi")
-    shown = functions.select(*key, F.concat_ws("\n", "requires_text", "ensures_text").alias("t")).join(F.broadcast(spec_names), F.contains(F.col("t"), F.col("spec"))).select(*key, "spec")
+    texts = functions.select(F.struct(*key).alias("k"), F.concat_ws("\n", "requires_text", "ensures_text").alias("t"))
+    shown = joins.contained(texts, "k", "t", spec_names.withColumn("needle", F.col("spec")), "spec", "needle").select("k.*", "spec")
     return called.unionByName(shown).distinct()
 
 
 def body_references(functions: DataFrame, spec_names: DataFrame) -> DataFrame:
-    key = ["file", "lines_start", "name"]
-    return functions.where(F.col("body_text").isNotNull()).select(*key, "body_text").join(F.broadcast(spec_names), F.contains(F.col("body_text"), F.concat("spec", F.lit("("))) & (F.col("spec") != F.col("name"))).select(*key, "spec").distinct()
+    """(file, lines_start, name, spec): other specs whose name and an opening bracket stand in a function's body."""
+    texts = functions.where(F.col("body_text").isNotNull()).select(F.struct("file", "lines_start", "name").alias("k"), "body_text")
+    met = joins.contained(texts, "k", "body_text", spec_names.withColumn("needle", F.concat("spec", F.lit("("))), "spec", "needle")
+    return met.where(F.col("spec") != F.col("k.name")).select("k.*", "spec").distinct()
 
 
 def browser(functions: DataFrame, entrypoints: DataFrame | None = None, base_url: str = "", prefix: str = "") -> tuple[DataFrame, DataFrame]:
@@ -98,6 +108,13 @@ def browser(functions: DataFrame, entrypoints: DataFrame | None = None, base_url
     return spec_rows.orderBy("id"), rows.orderBy("id")
 
 
+def browser_counts(functions: DataFrame, spec_rows: DataFrame, verified_rows: DataFrame) -> DataFrame:
+    """One row of counts: specs and axioms before pruning, those kept, verified functions, and entry points among them."""
+    before = catalog(functions).agg(F.count_if((F.col("mode") == "spec") | ((F.col("mode") == "proof") & F.startswith("name", F.lit("axiom_")))).alias("before"))
+    kept = spec_rows.agg(F.count_if(F.col("category") == "spec").alias("specs"), F.count_if(F.col("category") == "axiom").alias("axioms"))
+    return before.crossJoin(kept).crossJoin(verified_rows.agg(F.count("*").alias("verified"), F.count_if("is_focus").alias("entry_points")))
+
+
 def tracked(functions: DataFrame, base_url: str = "", prefix: str = "") -> DataFrame:
     """(function, module, link, has_spec, has_proof) of specified executable functions."""
     own = catalog(functions).where("mode = 'exec' AND specified AND NOT is_external_body")

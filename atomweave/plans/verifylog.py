@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.functions import paths
-from atomweave.functions.text import strip, without_ansi
+from atomweave.functions.text import lines_of, strip, without_ansi
 from atomweave.operators import grouping, joins
 
 LOCATION = r"-->\s+([^:]+):(\d+):(\d+)"
@@ -96,6 +96,11 @@ _OPENS = {
 }
 
 
+def _number(digits: str) -> int:
+    """A number of 32 bits; a larger one is 0."""
+    return int(digits) if len(digits) < 11 and int(digits) < 1 << 31 else 0
+
+
 def messages_of(text: str) -> Iterator[dict]:
     """The errors and warnings of one log in the order in which they close.  At most one of each is open; a place or a
     continuation goes to the error if there is one, a blank line closes both."""
@@ -109,7 +114,7 @@ def messages_of(text: str) -> Iterator[dict]:
         open_[level] = {"level": level, "message": message, "file": None, "line": None, "column": None, "full_message": [line]}
         return open_[level]
 
-    for line in map(str.strip, text.splitlines()):
+    for line in map(str.strip, lines_of(text)):
         kind, m = next(((k, m) for k, p in _KINDS if (m := p.search(line))), (None, None))
         error = open_.get("error")
         if kind in (None, "results", "failure") or kind == "crate" and finished:
@@ -126,7 +131,7 @@ def messages_of(text: str) -> Iterator[dict]:
         elif one := error or open_.get("warning"):
             one["full_message"].append(line)
             if kind == "place":
-                one |= {"file": m[1], "line": int(m[2]), "column": int(m[3])}
+                one |= {"file": m[1], "line": _number(m[2]), "column": _number(m[3])}
             elif one is error:
                 if line.startswith("Caused by:") or "(signal:" in line:
                     one["message"] += f" - {line}"
@@ -199,17 +204,20 @@ def proofs(results: DataFrame, atoms: DataFrame, tolerance: int = 5) -> DataFram
     return grouping.keep_last(rows, ["code_name"], [F.col("rank"), F.col("code_path"), F.col("code_line")]).drop("rank")
 
 
+def errors_by_file(lines: DataFrame) -> DataFrame:
+    """(log_id, file, line_numbers): the places of errors in each file, in order."""
+    return locations(lines).groupBy("log_id", "file").agg(F.array_sort(F.collect_list("line_number")).alias("line_numbers"))
+
+
 def match_atoms(functions: DataFrame, atoms: DataFrame, tolerance: int = 5, use_span: bool = True, name_match: str = "bare") -> DataFrame:
     """``functions`` (name, file, lines_start, lines_end) with the code_name of the nearest atom of equal name whose path
     matches by suffix and whose first line lies in the function (``use_span``) or within ``tolerance`` of its start."""
     bare = F.regexp_extract("display_name", "(?s)^(?:.*::)?(.*)$", 1) if name_match == "bare" else F.col("display_name")
-    a = atoms.select(bare.alias("name"), "code_name", "code_path", F.col("lines_start").alias("atom_line"))
-    own = functions.select("name", "file", "lines_start", "lines_end").distinct()
-    met = own.join(a, "name").where(paths.same_suffix(F.col("file"), F.col("code_path")) | paths.same_suffix(paths.src_suffix(F.col("file")), paths.src_suffix(F.col("code_path"))))
-    distance = F.abs(F.col("lines_start") - F.col("atom_line"))
-    near = distance <= tolerance
-    if use_span:
-        near = near | F.col("atom_line").between(F.col("lines_start"), F.col("lines_end"))
+    # paths that match end alike, at least in their last letters
+    tail = lambda c: F.expr(f"right({c}, 4)").alias("tail")
+    a = atoms.select(bare.alias("name"), tail("code_path"), "code_name", "code_path", F.col("lines_start").alias("atom_line"))
     keys = ["name", "file", "lines_start", "lines_end"]
-    best = met.where(near).groupBy(*keys).agg(F.min(F.struct(distance.alias("d"), "code_name")).alias("m"))
-    return functions.join(best.select(*keys, F.col("m.code_name").alias("code_name")), keys)
+    own = functions.select(*keys).distinct().withColumn("tail", tail("file"))
+    same = paths.same_suffix(F.col("file"), F.col("code_path")) | (paths.src_suffix(F.col("file")) == paths.src_suffix(F.col("code_path")))
+    best = joins.nearest_within(own, a, ["name", "tail"], "lines_start", "atom_line", tolerance, keys, "code_name", ("lines_start", "lines_end") if use_span else None, same)
+    return functions.join(best.select(*keys, "code_name"), keys)

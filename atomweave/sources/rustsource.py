@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomweave.functions.text import lines_of
+
 _TOKEN = re.compile(
     r"""(?P<doc>///(?!/)[^\n]*|/\*\*(?![*/]).*?\*/)|(?P<skip>//[^\n]*|\s+)|(?P<nest>/\*)|(?P<text>b?r(?P<hash>\#*)".*?"(?P=hash)|b?"(?:\\.|[^"\\])*"|b?'(?:\\[^\n]+?|[^\\'\n])')
     |(?P<life>'\w+)|(?P<word>r\#\w+|[^\W\d]\w*)|(?P<number>\d[\w.]*?(?=\.\.|[^\w.]|\Z))|(?P<sign>==>|<==>|&&&|\|\|\||::|->|=>|==|!=|<=|>=|&&|\|\||\.\.=?|.)""",
@@ -18,6 +20,8 @@ _TOKEN = re.compile(
 MODIFIERS = frozenset("pub default open closed uninterp broadcast async unsafe extern const spec proof axiom exec tracked ghost checked crate super self in".split())
 CLAUSES = frozenset("requires ensures decreases recommends returns opens_invariants no_unwind default_ensures via when invariant".split())
 KEYWORDS = frozenset("if match while for in return let else loop move as ref mut fn forall exists choose where matches is".split())
+#: The macros whose bodies hold items.
+ITEM_MACROS = frozenset(["verus", "cfg_if"])
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _GOES_ON = frozenset(", && || &&& ||| == != ==> <==> ) . else < > + - * / <= >= ]".split())
 
@@ -34,7 +38,7 @@ class Source:
 
     def __init__(self, text: str):
         self.kind, self.word, self.line, self.last = [], [], [], []
-        self.lines = text.splitlines()
+        self.lines = lines_of(text)
         at, line = 0, 1
         while at < len(text):
             m = _TOKEN.match(text, at)
@@ -176,7 +180,11 @@ class Source:
     def functions(self, methods: bool = True) -> Iterator[dict]:
         scopes: list[tuple[int, str, str | None]] = []  # end, context, type
         waiting: tuple[str, str | None] | None = None
+        after = 0  # what other macros hold are tokens, not items
         for i, w in enumerate(self.word):
+            if i < after:
+                continue
+            after = self.macro_end(i)
             while scopes and i >= scopes[-1][0]:
                 scopes.pop()
             if self.kind[i] == "sign" and w == "{" and waiting:
@@ -201,6 +209,13 @@ class Source:
                     scopes.append((self.match[end], "method" if context in ("impl", "trait", "method", "dropped") else "standalone", own))
                 waiting = None
 
+    def macro_end(self, i: int) -> int:
+        """Where the body of the macro called at ``i`` ends, if that isn't one of items; else 0."""
+        if self.kind[i] != "word" or self.at(i + 1) != "!" or self.word[i] in KEYWORDS or self.word[i] in ITEM_MACROS and self.at(i - 1) != "::":
+            return 0
+        body = i + 3 if self.word[i] == "macro_rules" else i + 2
+        return self.match.get(body, 0) if self.at(body) in _OPEN else 0
+
     def impl_type(self, i: int) -> str:
         j = i + 1
         if self.at(j) == "<":

@@ -43,3 +43,15 @@ def csv_lines(df: DataFrame, quoted: bool = True) -> DataFrame:
     """``df`` as CSV lines under ``value``; without ``quoted`` values are joined by commas as they are."""
     safe = lambda c: F.when(F.col(c).rlike('[",\n]'), F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col(c))
     return df.select(F.concat_ws(",", *[safe(c) if quoted else F.col(c) for c in df.columns]).alias("value"))
+
+
+def write_cache(folder: str, project: str, package: str | None, exit_code: int, text: str) -> None:
+    """The output of a verifier run with what it was run on, for a later analysis."""
+    write_json({"project_path": project, "package": package, "exit_code": exit_code}, f"{folder}/verification_config.json")
+    Path(folder, "verification_output.txt").write_text(text)
+
+
+def read_cache(folder: str) -> tuple[str, int, str]:
+    """(project, exit code, path of the output) of the run kept last."""
+    config = json.loads(Path(folder, "verification_config.json").read_text())
+    return config["project_path"], config["exit_code"], str(Path(folder, "verification_output.txt"))

@@ -16,7 +16,7 @@ def test_commands(spark, tmp_path):
     log = tmp_path / "log.txt"
     log.write_text(LOG.replace("src/a.rs:5:9", "src/a.rs:20:9"))
     out = tmp_path / "out"
-    assert cli.main(["run", str(tmp_path / "p"), "--index", index, "--from-file", str(log), "--exit-code", "1", "-o", str(out)], spark) == 0
+    assert cli.main(["run", str(tmp_path / "p"), "--index", index, "--from-file", str(log), "--exit-code", "1", "-o", str(out), "--data", str(tmp_path / "data")], spark) == 0
     atoms = json.loads((out / "atoms.json").read_text())
     assert atoms["probe:c/1.0.0/a/Table#method()"]["dependencies"] == ["probe:c/1.0.0/a/public_func()"]
     assert atoms["probe:c/1.0.0/a/Table#method()"]["code-text"] == {"lines-start": 20, "lines-end": 22}
@@ -29,6 +29,15 @@ def test_commands(spark, tmp_path):
     assert "Table<T>::method,a," in (out / "t.csv").read_text()
     assert cli.main(["specs-data", str(tmp_path / "p"), "-o", str(out / "d.json")], spark) == 0
     assert len(json.loads((out / "d.json").read_text())["spec_functions"]) == 3
+    # the output kept by run() is analysed again, in full
+    assert cli.main(["verify", str(tmp_path / "p"), "--data", str(tmp_path / "data"), "-o", str(out / "full.json")], spark) == 1
+    full = json.loads((out / "full.json").read_text())
+    assert [e["error_type"] for e in full["verification"]["errors"]] == ["postcondition not satisfied"] and full["verification"]["errors"][0]["line"] == 20
+    assert set(full["compilation"]) == {"errors", "warnings"} and full["summary"]["verification_errors"] == 1
+    assert cli.main(["verify", str(tmp_path / "p"), "--data", str(tmp_path / "none")], spark) == 1
+    assert cli.main(["list-functions", str(tmp_path / "p"), "-o", str(out / "f.json")], spark) == 0
+    listed = json.loads((out / "f.json").read_text())
+    assert listed["summary"]["total_files"] == 1 and listed["summary"]["total_functions"] == len(listed["functions"]) == len(listed["functions_by_file"]["src/a.rs"])
     assert cli.main(["stubify", str(tmp_path / "nowhere")], spark) == 1
 
 

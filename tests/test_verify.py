@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
-from atomweave.operators import rules
+from atomweave.operators import joins, rules
 from atomweave.plans import specs, verifylog
 from atomweave.sources import documents, rustsource
+from atomweave.sources.rustsource import Source
 
 LOG = """error: postcondition not satisfied
   --> src/a.rs:5:9
@@ -183,3 +184,39 @@ def test_small_readers(spark, tmp_path):
     assert {tuple(r) for r in documents.read_entrypoints(spark, str(tmp_path / "e.json")).collect()} == {("f", "p/src/a.rs"), ("f", "src/a.rs")}
     (tmp_path / "t.csv").write_text('function,module,impl_block\nf,m,"A<B, C>"\n')
     assert documents.read_tracked(spark, str(tmp_path / "t.csv")).first()["impl_block"] == "A<B, C>"
+
+
+def test_lines_end_at_line_feeds_alone():
+    source = "// a\x0c page\u2028break\r\nfn a()\n    requires x > 0,\n{}\nfn b() {}\n"
+    a, b = Source(source).functions()
+    assert (a["lines_start"], a["lines_end"], a["requires_text"], a["signature_text"]) == (2, 4, "requires x > 0,", "fn a()\nrequires x > 0,") and b["lines_start"] == 5
+
+
+def test_only_item_macros_hold_functions():
+    source = "verus! { fn a() {} }\ncfg_if! { if #[cfg(x)] { fn b() {} } else { fn c() {} } }\nmacro_rules! m { () => { fn d() {} } }\nfoo! { fn e() {} }\nfn f() { if !(x) { } }\nx::verus! { fn g() {} }\nfn h() {}\n"
+    assert [f["name"] for f in Source(source).functions()] == ["a", "b", "c", "f", "h"]
+
+
+def test_numbers_too_large_are_zero():
+    (m,) = verifylog.messages_of("error: bad\n --> a.rs:99999999999999999999:3\n\n")
+    assert (m["line"], m["column"]) == (0, 3)
+
+
+def test_atoms_match_by_whole_source_paths(spark):
+    functions = spark.createDataFrame([("new", "p/src/x/src/y.rs", 10, 20), ("new", "q/src/y.rs", 10, 20), ("new", "y.rs", 40, 90)], "name string, file string, lines_start long, lines_end long")
+    atoms = spark.createDataFrame([("T::new", "k1", "z/src/y.rs", 12), ("T::new", "k2", "w/src/x/src/y.rs", 11), ("new", "k3", "b/y.rs", 60)], "display_name string, code_name string, code_path string, lines_start long")
+    got = {(r["file"], r["code_name"]) for r in verifylog.match_atoms(functions, atoms).collect()}
+    assert got == {("p/src/x/src/y.rs", "k2"), ("q/src/y.rs", "k1"), ("y.rs", "k3")}
+    assert {r["code_name"] for r in verifylog.match_atoms(functions, atoms, use_span=False).collect()} == {"k1", "k2"}
+
+
+def test_needles_of_all_forms_are_found(spark):
+    texts = spark.createDataFrame([(1, "the xabc def ghi  jkl"), (2, "abc def"), (3, None), (None, "zz abc def ghix"), (4, ""), (4, "(f(x) q")], "k int, t string")
+    needles = spark.createDataFrame([(1, "abc def ghi"), (2, "c d"), (3, "f("), (4, ""), (5, " "), (6, "b"), (7, "i  j")], "n int, s string")
+    expected = sorted(str((r["k"], m["n"])) for r in texts.collect() for m in needles.collect() if m["s"] and m["s"] in (r["t"] or ""))
+    assert sorted(str(tuple(r)) for r in joins.contained(texts, "k", "t", needles, "n", "s").collect()) == expected
+
+
+def test_equal_points_are_answered_each(spark):
+    points, spans = spark.createDataFrame([(1, 5), (1, 5), (1, 50)], "k int, p int"), spark.createDataFrame([(1, 0, 9, "a"), (1, 4, 6, "b")], "k int, s int, e int, name string")
+    assert [r["name"] for r in joins.innermost(points, spans, ["k"], "p", "s", "e", bucket=4).collect()] == ["b", "b"]
