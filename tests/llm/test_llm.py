@@ -1,6 +1,7 @@
 """The corpus operators against plain versions of themselves, on small and awkward inputs."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -276,6 +277,48 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_of_awkward_templates(spark):
+    """Class words beside others decide by what the host repeats; sections are parts of an article; formulas are text."""
+    prose_ = lambda i, n: " ".join(prose(i, n))
+    text = {}
+
+    def page(i):
+        parts = [f"Head {i}", prose_(i, 12), prose_(100 + i, 60), f"past {i} {prose_(200 + i, 9)}", "area a 2 now", prose_(300 + i, 50)]
+        text[i] = "\n\n".join(parts)
+        return (
+            f'<body class="sidebar-left"><div id="site-nav"><a href=x>a</a></div><div class="wrapper sidebar-right"><div class="cookie-notice">we bake</div><article class="post comments-open"><h1>{parts[0]}</h1><p>{parts[1]}</p><section><p>{parts[2]}</p></section>'
+            f'<div class="social-history"><p>{parts[3]}</p></div><div class="notice-board"><p>same everywhere</p></div><section><p>area <math><mi>a</mi> <mn>2</mn></math> now</p><p>{parts[5]}</p></section>'
+            f'<div class="comments"><div class="comment"><p>me first</p><div class="comment"><p>reply {i}</p></div></div></div></article><div class="related-posts"><p>{prose_(400 + i, 30)}</p></div></div><div class="site-footer">foot</div>'
+        )
+
+    def other(i):
+        parts = [f"Title {i}", prose_(500 + i, 10), prose_(600 + i, 70)]
+        text[i] = "\n\n".join(parts)
+        return f'<div class="top-bar">b</div><div class="entry"><h2>{parts[0]}</h2><p>{parts[1]}</p><div class="body"><p>{parts[2]}</p></div></div><form><p>write to us</p></form>'
+
+    rows = [(i, "https://a.example.com/x", page(i), "old", i) for i in range(6)] + [(i, f"https://b.example.com/{i}", other(i), "old", i) for i in range(10, 14)]
+    long = "<article>" + "".join(f"<p>{prose_(700 + i, 30)}</p>" for i in range(3000)) + "</article>"
+    text[20] = "\n\n".join(prose_(700 + i, 30) for i in range(3000))
+    rows += [(20, "https://c.example.com/", long, "old", 0), (20, "https://c.example.com/", long, "old", 0)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, path int")).collect()
+    assert len(got) == len(rows) and all(r["text"] == text[r["page_id"]] and r["path"] is not None for r in got), next((r["text"][:600], text[r["page_id"]][:600]) for r in got if r["text"] != text[r["page_id"]])
+
+
+def test_html_equals_a_pattern_on_the_given_pages(spark):
+    """The tables' pages have one article each, of which a plain pattern gives the blocks."""
+    from html import unescape
+
+    folder = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(folder)
+    got = rows_of(html.main_text(pages), "page_id")
+    for r in pages.collect():
+        inner = re.sub(r"<!--.*?-->|<aside.*?</aside>", "", re.search(r"(?s)<article>(.*?)(</article>|$)", r["html"])[1])
+        blocks = [" ".join(unescape(re.sub(r"</?\w[^>]*>", "", re.sub("<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|div|article)[^>]*>", inner)]
+        assert got[r["page_id"]]["text"] == "\n\n".join(b for b in blocks if b), r["html"][:3000]
+
+
 # ---- 8 ----------------------------------------------------------------------------------------------------------
 
 
