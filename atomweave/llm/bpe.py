@@ -5,7 +5,9 @@ acyclic automaton whose edges carry how many words they skip, so that a path add
 number selects its ids.  Executors get the automaton as a file and map it into memory.  A word that it doesn't hold
 is merged by rank, many words at a time.  The lexicon only saves work: ids never depend on it.
 
-Null text counts as empty: no ids, and the decoded text is empty.  Texts of any length are handled whole.  Extra
+Null text counts as empty: no ids, and the decoded text is empty.  Texts of any length are handled whole.  Repeated rows
+are answered each, an empty table gives an empty result, and ties of frequency don't matter, as the lexicon takes whole
+classes of it.  Extra
 columns of the input are kept unless they clash with an output name, in which case the output wins.
 """
 

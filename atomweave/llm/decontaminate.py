@@ -6,10 +6,12 @@ end every comparison; the Burrows-Wheeler transform is held in a wavelet matrix
 steps of all phrases at once.  Occurrences are found by stepping back to sampled suffix positions, and the words they
 cover are merged into spans.
 
-Defined results: null and empty texts have no words and are clean.  Phrases of fewer than ``width`` words are
-searched whole; an item without words matches nothing.  Equal items all count.  The benchmark is searched in blocks
-of bounded size, so it may be of any size; spans of all blocks are merged.  Columns of the input whose names clash
-with the results' are replaced.
+Defined results: null and empty texts have no words and are clean; texts of any length are searched whole.  Phrases of
+fewer than ``width`` words are searched whole; an item without words matches nothing.  Equal items all count; the words
+of an item without an id are hits, but it isn't named among the items.  Repeated rows, and rows that share a key or have
+none, are answered each by their own text.  Empty tables give an empty result or clean documents.  The benchmark is
+searched in blocks of bounded size, so it may be of any size; spans of all blocks are merged row by row.  Other columns
+aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from atomweave.llm.common import slices, small_batches, utf8
+from atomweave.llm.common import slices, small_batches, staged, utf8
 from atomweave.llm.words import ALNUM, bounds, words
 
 #: Consecutive words of a phrase.
@@ -29,8 +32,8 @@ WIDTH = 13
 #: Bytes of text in a shard of the index, and rows between kept suffix positions.
 SHARD_BYTES = 1 << 20
 SAMPLE = 8
-#: Benchmark items searched in one pass; that bounds what is broadcast.
-BLOCK_ITEMS = 20_000
+#: Benchmark items, and bytes of them, searched in one pass; that bounds what is broadcast.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 
 
 class Bits:
@@ -218,9 +221,12 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """key, n_words, spans (array of first and end word) and items (array of item ids as text, sorted as text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words long, spans array<struct<first: long, end: long>>, items array<string>"
     ranged = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("t"), F.lit(0).cast("long").alias("row"))
+    size = ranged.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    if size["n"] > BLOCK_ITEMS or (size["bytes"] or 0) > BLOCK_BYTES:  # each row needs a name of its own, to be found again
+        docs = staged(docs.withColumn("row", F.monotonically_increasing_id()))
+    schema = T.StructType([docs.schema["key"], docs.schema["row"], T.StructField("n_words", T.LongType()), *T.StructType.fromDDL("spans array<struct<first: long, end: long>>, items array<string>")])
     parts = []
     for names, texts in _blocks(ranged):
         shared = spark.sparkContext.broadcast((names, *phrase_table(texts, width)))
@@ -228,15 +234,15 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         def run(batches, shared=shared):
             names, *table = shared.value
             for whole in batches:
-                for batch in slices(whole, text, SHARD_BYTES):
-                    counts, _, spans, items = search_shard(*utf8(batch.column(batch.schema.get_field_index(text))), table)
-                    made = [pa.array(counts, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array([sorted({names[i] for i in x}) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), *made], [key, "n_words", "spans", "items"])
+                for batch in slices(whole, "t", SHARD_BYTES):
+                    counts, _, spans, items = search_shard(*utf8(batch.column(1)), table)
+                    made = [pa.array(counts, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array([sorted({names[i] for i in x} - {None}) for x in items], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *made], schema.names)
 
-        parts.append(docs.select(key, text).mapInArrow(run, schema))
+        parts.append(docs.mapInArrow(run, schema))
     if len(parts) == 1:
-        return parts[0]
-    # several blocks: a row's spans of all of them are merged; there are at most as many rows to a key as blocks
+        return parts[0].drop("row").withColumnRenamed("key", key)
+    # several blocks: a row's spans of all of them are merged; a row has one part from each
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -245,21 +251,24 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         F.array().cast("array<struct<first: long, end: long>>"),
         lambda done, x: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= x["first"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
     )
-    return both.groupBy(key).agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = both.groupBy("row").agg(F.first("key").alias(key), F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.drop("row")
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[str], list[str | None]]]:
-    """Items in blocks of at most BLOCK_ITEMS, read as they are asked for; at least one block, be it empty."""
-    names, texts, given = [], [], False
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[str | None], list[str | None]]]:
+    """Items in blocks of at most BLOCK_ITEMS and, but for single ones, BLOCK_BYTES, read as they are asked for; at least one block, be it empty."""
+    names, texts, size, given = [], [], 0, False
     for r in benchmark.orderBy("i", "t").toLocalIterator():
+        more = len((r["t"] or "").encode("utf-8", "replace"))
+        if names and (len(names) == BLOCK_ITEMS or size + more > BLOCK_BYTES):
+            yield names, texts
+            names, texts, size, given = [], [], 0, True
         names.append(r["i"])
         texts.append(r["t"])
-        if len(names) == BLOCK_ITEMS:
-            yield names, texts
-            names, texts, given = [], [], True
+        size += more
     if names or not given:
         yield names, texts
 
@@ -280,6 +289,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """The documents that aren't contaminated, unchanged."""
-    bad = judge(docs, benchmark, key, text, **kw).where("contaminated").select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+    """The documents that aren't contaminated, unchanged; rows that share a key and a text are judged alike, others by
+    their own text."""
+    told = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("__name"), F.col(text).alias("__text"))
+    bad = judge(told, benchmark, "__name", "__text", **kw).where("contaminated").select("__name").distinct()
+    named = docs.withColumn("__name", F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")))
+    return named.join(bad, named["__name"].eqNullSafe(bad["__name"]), "left_anti").drop("__name")

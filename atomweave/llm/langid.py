@@ -7,7 +7,8 @@ multiplied out into one table per place in the filter, so that a window costs a
 
 Bounds: TRAIN_ROWS labelled rows at most, chosen by hash of their key, with TRAIN_WINDOWS windows of each.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0.  Rows whose language is null don't
+Defined results: texts of any length are read in all their windows; repeated rows are answered each; an empty table
+gives an empty result; input columns named lang_pred or score are replaced, others kept.  Null texts and texts without a letter are ``und`` with score 0.  Rows whose language is null don't
 teach; with none left every text is ``und``.  Equal probabilities go to the smaller name.
 """
 

@@ -7,8 +7,10 @@ sums samples k texts without replacement in proportion to their weights.  The cu
 ever finer ranges, so nothing but counts reaches the driver.
 
 Counts cover all rows.  Defined results: null and wordless texts have no n-gram, weight minus infinity (null in the
-result) and are never selected; without any labelled text all weights are 0.  Equal sums go to the smaller key; rows
-that repeat a key share its noise and are selected together only while k lasts, by text.
+result) and are never selected; texts of any length count whole; without any labelled text all weights are 0; an empty
+table gives an empty result.  Equal sums go to the smaller key (none before any).  Rows that repeat a key, or have none,
+share its noise; of rows equal in key and sum, only as many are selected as are needed.  Other columns aren't looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -83,8 +85,9 @@ def score(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str =
     return scored.withColumn("noisy", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
-def top(scored: DataFrame, k: int, value: str = "noisy", key: str = "doc_id") -> Column:
-    """Whether a row is among the k of greatest value (then least key): the condition on ``scored``, found by counting."""
+def top(scored: DataFrame, k: int, value: str, key: str, row: str) -> Column:
+    """Whether a row is among the k of greatest value (then least key, then least ``row``, which no two share): the condition
+    on ``scored``, found by counting."""
     some = scored.where(F.col(value).isNotNull())
     ends = some.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).first()
     if k <= 0 or not ends["n"]:
@@ -104,13 +107,15 @@ def top(scored: DataFrame, k: int, value: str = "noisy", key: str = "doc_id") ->
         lo, hi = counts[p]["lo"], counts[p]["hi"]
         if counts[p]["n"] == need:
             return F.coalesce(F.col(value) >= lo, F.lit(False))
-    # rows of one value: as many of the least keys as are still needed
-    last = some.where(F.col(value).between(lo, hi)).orderBy(F.desc(value), key).limit(need).agg(F.max(key)).first()[0]
-    return F.coalesce((F.col(value) > hi) | (F.col(value).between(lo, hi) & (F.col(key) <= F.lit(last))), F.lit(False))
+    # rows of about one value: as many of the first ones as are still needed
+    last = some.where(F.col(value).between(lo, hi)).orderBy(F.desc(value), F.asc_nulls_first(key), row).limit(need).agg(F.max(F.struct((-F.col(value)).alias("v"), F.col(key).isNotNull().alias("named"), F.col(key).alias("k"), F.col(row).alias("r")))).first()[0]
+    v, this, other = F.lit(-last["v"]), F.col(key), F.lit(last["k"])
+    before = this.isNull() & (F.lit(last["named"]) | (F.col(row) <= last["r"])) | this.isNotNull() & F.lit(last["named"]) & ((this < other) | (this == other) & (F.col(row) <= last["r"]))
+    return F.coalesce((F.col(value) > v) | (F.col(value) == v) & F.coalesce(before, F.lit(False)), F.lit(False))
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", share: float = SHARE) -> DataFrame:
     """(key, log_weight, noisy, selected) for every row, sampling ``share`` of the texts that have words."""
     ratios = fit(docs, labels.where(F.col(label) > 0), key, text)
-    scored = staged(score(docs, ratios, key, text))
-    return scored.withColumn("selected", top(scored, int(share * scored.where(F.col("log_weight").isNotNull()).count()), "noisy", key))
+    scored = staged(score(docs, ratios, key, text).withColumn("__row", F.monotonically_increasing_id()))
+    return scored.withColumn("selected", top(scored, int(share * scored.where(F.col("log_weight").isNotNull()).count()), "noisy", key, "__row")).drop("__row")

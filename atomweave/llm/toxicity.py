@@ -9,7 +9,10 @@ hold are exceptions, as are those given; a term inside one doesn't count.  Sums
 Bounds: at most TRAIN_ROWS labelled rows and LEXICON_TERMS terms are used for fitting, rows chosen by hash of their key.
 
 Defined results: null, empty and wordless texts score as a text without a term.  Rows without a label (null included)
-don't teach; with no usable label at all every score is the rate 0.  Several labels of one key all count.
+don't teach; with no usable label at all every score is the rate 0.  Of several labels of one key the toxic one counts;
+all rows of a key learn from it.  Texts of any length are matched whole, words of any length too; repeated rows are
+scored each; an empty table gives an empty result.  Equal odds go to the term in more documents, then to the lesser one.
+Input columns named score or predicted are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -74,10 +77,13 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float], exceptions: tuple[str, ...] = ()):
         self.machine = ahocorasick.Automaton()
+        spelt: dict[str, float] = {}
         for term, weight in terms.items():
-            # the folding of 1 is i, which may have been written for l
-            for spelt in {term, term.replace("l", "i")}:
-                self.machine.add_word(spelt, (len(spelt), weight))
+            # the folding of 1 is i, which may have been written for l; of terms spelt alike the heaviest counts
+            for word in (term, term.replace("l", "i")):
+                spelt[word] = max(weight, spelt.get(word, weight))
+        for word, weight in spelt.items():
+            self.machine.add_word(word, (len(word), weight))
         for phrase in exceptions:
             self.machine.add_word(fold(phrase), (len(fold(phrase)), None))
         if len(self.machine):
@@ -165,9 +171,8 @@ def _counted(rows: DataFrame, of) -> DataFrame:
 def candidate_terms(text: str | None) -> set[str]:
     out = set()
     for w in set(fold(text or "").split()):
-        if len(w) < 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in PREFIX if k <= len(w))
+        out.add(f" {w} ")
+        out.update(f" {w[:k]}" for k in PREFIX if k <= len(w))
     return out
 
 
@@ -188,7 +193,7 @@ def _terms(rows: DataFrame) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", exceptions: tuple[str, ...] = EXCEPTIONS, most: int = TRAIN_ROWS) -> Model:
     """Learn from the labelled rows for which ``teach`` (of ``key``) holds."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & teach).select(F.col(key).alias("k"), F.when(F.col(label) > 0, 1).otherwise(0).alias("label"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & teach).groupBy(F.col(key).alias("k")).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
     share = min(1.0, most / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < int(1_000_003 * share))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k").withColumn("part", F.pmod(F.xxhash64("k", F.lit("part")), F.lit(10)))
@@ -197,9 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, teach: Column, key: str = "doc_id",
     partial, terms = _terms(teaching), _terms(rows)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
+    built: list[Lexicon] = []
+
     def contexts(content):
         folded, out = fold(content or ""), set()
-        own = Lexicon(shared.value)
+        if not built:
+            built.append(Lexicon(shared.value))
+        own = built[0]
         for at in own.hits(folded):
             before, rest = folded[:at].rsplit(" ", 1)[-1], folded[at + 1 :].split(" ", 2)
             out.update(" ".join(x) for x in ((before, rest[0]), rest[:2]) if all(x))
