@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, html, jaccard, langid, media, quality, substring, toxicity, urls
+from atomweave.llm import decontaminate, html, jaccard, langid, media, quality, sql, substring, toxicity, urls
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -71,32 +71,4 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op9_media": op9_media, "op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 
 
-def op5_sql() -> str:
-    """op5 in DuckDB's SQL: the same levels, each as a few common tables."""
-    fits = lambda rule: f"((host = '{rule.split('/')[0]}' OR ends_with(host, '.{rule.split('/')[0]}')) AND starts_with(path, '/{rule.split('/', 1)[1]}'))"
-    by_length = sorted(URL_RULES, key=lambda r: -len(r[0]))
-    case = lambda i: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[i]}'" for r in by_length) + " END"
-    sql = f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-    h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
-    p AS (SELECT page_id, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-    l AS (SELECT *, {case(0)} AS rule, {case(1)} AS said FROM p),
-    r0 AS (SELECT *, (rule IS NOT NULL)::INT AS labelled, (coalesce(said, '') = 'block')::INT AS block, '' AS node, string_split(path, '/') AS s FROM l)"""
-    for d in range(1, urls.DEPTH + 1):
-        part = f"coalesce(s[{d + 1}], '')" if d < urls.DEPTH else f"array_to_string(s[{d + 1}:], '/')"
-        sums = "sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b, sum(m)::DOUBLE AS m"
-        sql += f""",
-    q{d} AS (SELECT *, {part} AS part FROM r{d - 1}),
-    c{d} AS (SELECT host, node, part, count(*)::DOUBLE AS n, sum(block)::DOUBLE AS b, sum(labelled)::DOUBLE AS m FROM q{d} GROUP BY ALL),
-    a{d} AS (SELECT host, node, {sums} FROM c{d} GROUP BY ALL),
-    k{d} AS (SELECT c.* FROM c{d} c JOIN a{d} a USING (host, node) WHERE c.n >= {urls.LEAST_URLS} AND c.n * {urls.LEAST_PART} >= a.n),
-    t{d} AS (SELECT host, node, {sums} FROM k{d} GROUP BY ALL),
-    b{d} AS (SELECT * FROM k{d} UNION ALL SELECT a.host, a.node, NULL, a.n - coalesce(t.n, 0), a.b - coalesce(t.b, 0), a.m - coalesce(t.m, 0) FROM a{d} a LEFT JOIN t{d} t USING (host, node)),
-    n{d} AS (SELECT b.host, b.node, b.part, CASE WHEN b.m = 0 OR (b.b * a.m - a.b * b.m) * (b.b * a.m - a.b * b.m) * a.m > {urls.DIFFERS} * b.m * (a.m - b.m) * a.b * (a.m - a.b) THEN coalesce(b.part, '*') ELSE '~' END AS label FROM b{d} b JOIN a{d} a USING (host, node)),
-    r{d} AS (SELECT q.* EXCLUDE (node, part), q.node || '/' || coalesce(x.label, y.label) AS node FROM q{d} q LEFT JOIN n{d} x ON x.host = q.host AND x.node = q.node AND x.part = q.part LEFT JOIN n{d} y ON y.host = q.host AND y.node = q.node AND y.part IS NULL)"""
-    last = f"r{urls.DEPTH}"
-    return sql + f""",
-    v AS (SELECT host, node, (sum(block)::DOUBLE + {urls.SMOOTHING}) / (sum(labelled)::DOUBLE + {2 * urls.SMOOTHING}) AS purity FROM {last} GROUP BY ALL)
-    SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict, r.host || r.node AS template, purity FROM {last} r JOIN v USING (host, node)"""
-
-
-ORACLES: dict[str, str] = {"op5_urls": op5_sql()}
+ORACLES: dict[str, str] = {"op3_jaccard": sql.OP3, "op4_decontaminate": sql.OP4, "op5_urls": sql.op5(URL_RULES)}

@@ -567,6 +567,22 @@ def test_toxicity_of_awkward_rows(spark):
     assert (by[400]["predicted"], by[401]["predicted"], by[402]["predicted"]) == (0, 1, 0) and all(by[i]["predicted"] == int(i % 5 == 0) for i in range(300))
 
 
+# ---- SQL --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df, rel = queries.QUERIES[name](spark, folder), con.sql(queries.ORACLES[name])
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert sorted(str(tuple(r)) for r in df.select(*rel.columns).collect()) == sorted(map(str, rel.fetchall()))
+
+
 # ---- pipeline ---------------------------------------------------------------------------------------------------
 
 
