@@ -63,7 +63,8 @@ def _bucketed(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: s
     """Both sides with the buckets that they're in, times in seconds, and what to join them on."""
     if not bucket:
         return points, spans, list(keys)
-    at = lambda c: F.floor(F.col(c).cast("long") / bucket)
+    times = "timestamp" in points.schema[point].dataType.typeName()
+    at = lambda c: F.floor((F.col(c).cast("timestamp") if times else F.col(c)).cast("long") / bucket)
     return points.withColumn("__b", at(point)), spans.withColumn("__b", F.explode(F.sequence(at(first), at(last)))), [*keys, "__b"]
 
 
