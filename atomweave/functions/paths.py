@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +31,13 @@ def score(a: Column, b: Column) -> Column:
     return F.when(a == b, EXACT).when(F.endswith(a, F.concat(slash, b)) | F.endswith(b, F.concat(slash, a)), SUFFIX).when((file_name(a) == file_name(b)) & (file_name(a) != ""), FILE_NAME).otherwise(NONE)
 
 
-def best_match(left: DataFrame, right: DataFrame, row: str, path: str, wanted: str) -> DataFrame:
-    """Each left row with the right path that matches best (least path on ties).  Any match has the file name in common,
-    so that is what the sides are joined on."""
-    a = left.select(row, path, file_name(F.col(path)).alias("__file")).where("__file <> ''")
-    b = right.select(wanted, file_name(F.col(wanted)).alias("__file")).where("__file <> ''")
+def best_match(left: DataFrame, right: DataFrame, row: str, path: str, wanted: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Each left row with the right path (of the same ``keys``) that matches best (least path on ties).  Any match has the
+    file name in common, so that is what the sides are joined on."""
+    a = left.select(*keys, row, path, file_name(F.col(path)).alias("__file")).where("__file <> ''")
+    b = right.select(*keys, wanted, file_name(F.col(wanted)).alias("__file")).where("__file <> ''")
     best = F.min(F.struct((-score(F.col(path), F.col(wanted))).alias("s"), F.col(wanted).alias("w"))).alias("b")
-    return a.join(b, "__file").groupBy(row).agg(best).select(row, F.col("b.w").alias(wanted), (-F.col("b.s")).alias("score"))
+    return a.join(b, [*keys, "__file"]).groupBy(*keys, row).agg(best).select(*keys, row, F.col("b.w").alias(wanted), (-F.col("b.s")).alias("score"))
 
 
 def module_path(path: Column) -> Column:

@@ -20,11 +20,13 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return best.select(*keys, *[F.col(f"__best.__row.`{c}`").alias(c) for c in own])
 
 
-def discriminating(df: DataFrame, base: str, value: str, place: str, row: Sequence[str]) -> DataFrame:
-    """(row, value): for rows whose base is not unique, their first value that no other row of that base has."""
+def discriminating(df: DataFrame, base: str, value: str, place: str, row: Sequence[str], alone: bool = False) -> DataFrame:
+    """(row, value): for rows whose base is not unique, their first value that no other row of that base has.
+
+    ``alone``: a row counts even if it's the only one of its base here, as rows without values aren't here."""
     shared = df.groupBy(base).agg(F.count_distinct(*row).alias("__rows")).where("__rows > 1").select(base)
     lone = df.groupBy(base, value).agg(F.count_distinct(*row).alias("__n")).where("__n = 1").select(base, value)
-    return df.join(shared, base, "left_semi").join(lone, [base, value], "left_semi").groupBy(*row).agg(F.min_by(value, F.struct(place, value)).alias(value))
+    return (df if alone else df.join(shared, base, "left_semi")).join(lone, [base, value], "left_semi").groupBy(*row).agg(F.min_by(value, F.struct(place, value)).alias(value))
 
 
 def flagged_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, width: int, name: str) -> DataFrame:

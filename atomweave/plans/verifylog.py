@@ -158,10 +158,9 @@ def messages(logs: DataFrame) -> DataFrame:
 def failed_functions(functions: DataFrame, places: DataFrame) -> DataFrame:
     """(log_id, name, file, lines_start) of the innermost function around each place (log_id, file, line_number); a file
     is the one whose path matches best."""
-    asked = places.select("log_id", F.col("file").alias("said")).distinct()
+    asked = places.select("log_id", "file", F.col("file").alias("said")).distinct()
     files = functions.select("log_id", F.col("file").alias("own")).distinct()
-    both = asked.withColumn("f", paths.file_name(F.col("said"))).join(files.withColumn("f", paths.file_name(F.col("own"))), ["log_id", "f"]).where("f <> ''")
-    best = both.groupBy("log_id", "said").agg(F.min(F.struct((-paths.score(F.col("said"), F.col("own"))).alias("s"), "own")).alias("b")).select("log_id", F.col("said").alias("file"), F.col("b.own").alias("own"))
+    best = paths.best_match(asked, files, "file", "said", "own", ["log_id"]).select("log_id", "file", "own")
     points = places.select("log_id", "file", "line_number").distinct().join(best, ["log_id", "file"]).select("log_id", F.col("own").alias("file"), F.col("line_number").cast("long").alias("line_number")).distinct()
     return joins.innermost(points, functions.select("log_id", "file", "name", "lines_start", "lines_end"), ["log_id", "file"], "line_number", "lines_start", "lines_end").select("log_id", "name", "file", "lines_start").distinct()
 
