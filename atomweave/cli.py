@@ -28,6 +28,9 @@ def functions(spark: SparkSession, path: str, methods: bool = True) -> DataFrame
 
 
 def atomize(spark: SparkSession, a: argparse.Namespace) -> int:
+    if not Path(a.project, "Cargo.toml").exists():
+        print(f"{a.project} has no Cargo.toml", file=sys.stderr)
+        return 1
     symbols, occurrences = index.read_index(spark, a.index or f"{a.project}/data/index.scip.json")
     spans = rustsource.spans(functions(spark, a.project))
     atoms = callgraph.atoms(symbols, occurrences, spans, a.with_locations, a.name_match).cache()

@@ -27,6 +27,12 @@ def names(functions: DataFrame) -> DataFrame:
     return functions.where(F.col("name").isNotNull()).select("name").distinct().orderBy("name")
 
 
+def by_file(functions: DataFrame) -> DataFrame:
+    """(file, functions): the name and first line of each file's functions, in order of lines."""
+    named = functions.where(F.col("name").isNotNull())
+    return named.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("lines_start", "name"))), lambda f: F.struct(f["name"].alias("name"), f["lines_start"].alias("line"))).alias("functions"))
+
+
 def is_proved() -> Column:
     """Whether a function counts as proved."""
     return (F.col("specified") | F.col("is_external_body")) & ~(F.col("has_trusted_assumption") | F.col("is_external_body") | F.col("has_no_decreases_attr"))

@@ -4,6 +4,7 @@ from test_callgraph import occurrence, symbol, write
 from test_verify import LOG, SOURCE
 
 from atomweave import cli
+from atomweave.plans import specs
 from atomweave.streaming.logs import stream_failures
 
 
@@ -16,6 +17,8 @@ def test_commands(spark, tmp_path):
     log = tmp_path / "log.txt"
     log.write_text(LOG.replace("src/a.rs:5:9", "src/a.rs:20:9"))
     out = tmp_path / "out"
+    assert cli.main(["atomize", str(tmp_path / "p"), "--index", index, "-o", str(out / "atoms.json")], spark) == 1
+    (tmp_path / "p" / "Cargo.toml").write_text("")
     assert cli.main(["run", str(tmp_path / "p"), "--index", index, "--from-file", str(log), "--exit-code", "1", "-o", str(out), "--data", str(tmp_path / "data")], spark) == 0
     atoms = json.loads((out / "atoms.json").read_text())
     assert atoms["probe:c/1.0.0/a/Table#method()"]["dependencies"] == ["probe:c/1.0.0/a/public_func()"]
@@ -37,6 +40,8 @@ def test_commands(spark, tmp_path):
     assert cli.main(["verify", str(tmp_path / "p"), "--data", str(tmp_path / "none")], spark) == 1
     assert cli.main(["list-functions", str(tmp_path / "p"), "-o", str(out / "f.json")], spark) == 0
     listed = json.loads((out / "f.json").read_text())
+    (row,) = specs.by_file(cli.functions(spark, str(tmp_path / "p"))).collect()
+    assert row["file"] == "src/a.rs" and [f["name"] for f in row["functions"]] == [f["name"] for f in listed["functions"]]
     assert listed["summary"]["total_files"] == 1 and listed["summary"]["total_functions"] == len(listed["functions"]) == len(listed["functions_by_file"]["src/a.rs"])
     assert cli.main(["stubify", str(tmp_path / "nowhere")], spark) == 1
 
