@@ -102,8 +102,14 @@ class Page:
         return False
 
     def doubtful(self) -> list[tuple[str, str]]:
-        """(path, text) of the doubtful elements."""
-        return [(self.path[n], self.text_of([n])) for n in range(len(self.tag)) if self.mark[n] == 1 and not self.dropped[n]]
+        """(path, text) of the doubtful elements that have some."""
+        held: dict[int, list[str]] = {}
+        for node, text, _ in self.blocks:
+            while node > 0 and not self.dropped[node]:
+                if self.mark[node] == 1:
+                    held.setdefault(node, []).append(text)
+                node = self.parent[node]
+        return [(self.path[n], "\n\n".join(t)) for n, t in held.items()]
 
     def _read(self, html: str) -> None:
         stack = [0]
