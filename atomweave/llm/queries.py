@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, html, jaccard, langid, media, quality, sql, substring, toxicity, urls
+from atomweave.llm import decontaminate, html, jaccard, langid, media, negatives, quality, sql, substring, toxicity, urls
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -68,7 +68,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.align(media.fingerprints(media.render(table(spark, sf_dir, "embeddings")), "vec_id"), "vec_id")
 
 
-QUERIES = {"op9_media": op9_media, "op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh label is wrong on purpose; anchors are the rows whose key is divisible by 100."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"), wrong_label=negatives.WRONG_LABEL)
 
 
-ORACLES: dict[str, str] = {"op3_jaccard": sql.OP3, "op4_decontaminate": sql.OP4, "op5_urls": sql.op5(URL_RULES)}
+QUERIES = {"op12_negatives": op12_negatives, "op9_media": op9_media, "op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+
+
+ORACLES: dict[str, str] = {"op3_jaccard": sql.OP3, "op4_decontaminate": sql.OP4, "op5_urls": sql.op5(URL_RULES), "op12_negatives": sql.OP12}

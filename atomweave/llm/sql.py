@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from atomweave.llm import decontaminate, jaccard, urls
+from atomweave.llm import decontaminate, jaccard, negatives, urls
 
 
 def words(text: str, pattern: str) -> str:
@@ -37,6 +37,16 @@ OP4 = rf"""WITH d AS MATERIALIZED (SELECT doc_id, {words("text", ALNUM)} AS w FR
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+#: Every anchor against every row.
+OP12 = f"""WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % {negatives.WRONG_LABEL} = 0 THEN (label + 1) % {negatives.LABELS} ELSE label END AS label, list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)::BIGINT) AS v
+        FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: NOT coalesce(isfinite(x), false))) = 0),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {negatives.ANCHOR} = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES}),
+    n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS r
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND {negatives.LOW} * positive_score <= 100 * s.score AND s.score <= positive_score)
+    SELECT anchor_id, positive_id, r::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= {negatives.NEGATIVES}"""
+
+
 def op5(rules: list[tuple[str, str]]) -> str:
     """op5 in DuckDB's SQL: the same levels, each as a few common tables."""
     fits = lambda rule: f"((host = '{rule.split('/')[0]}' OR ends_with(host, '.{rule.split('/')[0]}')) AND starts_with(path, '/{rule.split('/', 1)[1]}'))"
