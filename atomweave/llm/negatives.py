@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from atomweave.llm.common import staged
 
 #: Rows of a leaf, of a tile, tiles of a bundle, and anchors of a block.
-LEAF, TILE, BUNDLE, BLOCK = 128, 4096, 8, 512
+LEAF, TILE, BUNDLE, BLOCK = 128, 4096, 2, 512
 #: Positives of an anchor and negatives of a positive; a negative's score lies between LOW and 100 hundredths of the positive's.
 POSITIVES, NEGATIVES, LOW = 5, 5, 80
 #: Relabelled rows and anchors of the query, by divisors of the key.
@@ -220,9 +220,11 @@ def _met(blocks: DataFrame, packed: DataFrame, run, schema: str) -> DataFrame:
     """``run`` of every block of anchors and every bundle of tiles of its dimension: the stated query set against all rows, in blocks."""
     tile = F.struct("dim", "tile", "piece", "ids", "labels", "v", "ends")
     bundles = staged(packed.groupBy("dim", "bundle").agg(F.collect_list(tile).alias("tiles")))
+    tasks = max(1, bundles.count())  # few rows, but each is much work
     asked = bundles.groupBy("dim").agg(F.collect_list("bundle").alias("bundles"))
     pairs = blocks.join(asked, "dim").withColumn("bundle", F.explode("bundles")).drop("bundles")
-    return pairs.join(bundles, ["dim", "bundle"]).select("bundle", "anchors", "tiles").mapInArrow(run, schema)
+    dealt = pairs.repartition(tasks, "dim", "bundle").hint("merge").join(bundles.repartition(tasks, "dim", "bundle"), ["dim", "bundle"])
+    return dealt.select("bundle", "anchors", "tiles").mapInArrow(run, schema)
 
 
 def _pairs(batches):

@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomweave.llm import decontaminate, html, jaccard, langid, media, negatives, quality, spelling, sql, substring, toxicity, urls
+from atomweave.llm import decontaminate, html, jaccard, langid, media, negatives, quality, spelling, sql, substring, suffixes, toxicity, urls
 from atomweave.llm.bpe import Codec
 from atomweave.llm.common import table
 
@@ -77,7 +77,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op11_spelling": op11_spelling, "op12_negatives": op12_negatives, "op9_media": op9_media, "op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op13_suffixes": op13_suffixes, "op11_spelling": op11_spelling, "op12_negatives": op12_negatives, "op9_media": op9_media, "op2_quality": op2_quality, "op8_substring": op8_substring, "op3_jaccard": op3_jaccard, "op5_urls": op5_urls, "op7_html": op7_html, "op6_language": op6_language, "op10_toxicity": op10_toxicity, "op4_decontaminate": op4_decontaminate, "op1_bpe": op1_bpe}
 
 
 ORACLES: dict[str, str] = {"op3_jaccard": sql.OP3, "op4_decontaminate": sql.OP4, "op5_urls": sql.op5(URL_RULES), "op12_negatives": sql.OP12}
