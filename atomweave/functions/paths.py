@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,18 +27,49 @@ def same_suffix(a: Column, b: Column) -> Column:
 
 
 def score(a: Column, b: Column) -> Column:
-    """How well paths match: 3 equal, 2 one is a whole-component suffix of the other, 1 same file name, 0 not."""
-    slash = F.lit("/")
-    return F.when(a == b, EXACT).when(F.endswith(a, F.concat(slash, b)) | F.endswith(b, F.concat(slash, a)), SUFFIX).when((file_name(a) == file_name(b)) & (file_name(a) != ""), FILE_NAME).otherwise(NONE)
+    """How well paths match: 3 equal, 2 one ends with the other, 1 same file name, 0 not; an empty path fits none."""
+    return F.when(a == b, EXACT).when(same_suffix(a, b), SUFFIX).when((file_name(a) == file_name(b)) & (file_name(a) != ""), FILE_NAME).otherwise(NONE)
+
+
+def _tails(df: DataFrame, path: str, other: DataFrame, named: str) -> DataFrame:
+    """``df`` with __tail, one row for each ending of ``path`` that is as long as some path of ``other`` and shorter than
+    the path itself: by these two paths of which one ends with the other meet as equals."""
+    lengths = other.agg(F.collect_set(F.length(named))).scalar()  # as many as there are lengths of paths
+    long = df.withColumn("__n", F.explode(lengths)).where((F.col("__n") > 0) & (F.col("__n") < F.length(path)))
+    return long.withColumn("__tail", F.right(F.col(path), F.col("__n"))).drop("__n")
 
 
 def best_match(left: DataFrame, right: DataFrame, row: str, path: str, wanted: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Each left row with the right path (of the same ``keys``) that matches best (least path on ties).  Any match has the
-    file name in common, so that is what the sides are joined on."""
-    a = left.select(*keys, row, path, file_name(F.col(path)).alias("__file")).where("__file <> ''")
-    b = right.select(*keys, wanted, file_name(F.col(wanted)).alias("__file")).where("__file <> ''")
-    best = F.min(F.struct((-score(F.col(path), F.col(wanted))).alias("s"), F.col(wanted).alias("w"))).alias("b")
-    return a.join(b, [*keys, "__file"]).groupBy(*keys, row).agg(best).select(*keys, row, F.col("b.w").alias(wanted), (-F.col("b.s")).alias("score"))
+    """Each left row with the right path (of the same ``keys``) that matches best (least path on ties).
+
+    Each way to match is an equi-join with one right path for each ending or file name, so rows stay as many as there are
+    paths, however many of them share a file name."""
+    a = left.select(*keys, path).where(F.length(path) > 0).distinct()
+    b = right.select(*keys, wanted).where(F.length(wanted) > 0).distinct()
+    least = F.min(wanted).alias(wanted)
+    same = lambda c: [*[F.col(k) for k in keys], F.col(c).alias("__by")]
+    exact = b.select(*same(wanted), wanted)
+    longer = _tails(b, wanted, a, path).groupBy(*same("__tail")).agg(least)
+    shorter = _tails(a, path, b, wanted).select(*keys, path, F.col("__tail").alias("__by")).join(exact, [*keys, "__by"])
+    names = b.withColumn("__name", file_name(F.col(wanted))).where("__name <> ''").groupBy(*same("__name")).agg(least)
+    own = a.withColumn("__by", F.col(path))
+    found = [
+        own.join(exact, [*keys, "__by"]).select(*keys, path, wanted, F.lit(EXACT).alias("score")), own.join(longer, [*keys, "__by"]).select(*keys, path, wanted, F.lit(SUFFIX).alias("score")),
+        shorter.select(*keys, path, wanted, F.lit(SUFFIX).alias("score")), a.withColumn("__by", file_name(F.col(path))).join(names, [*keys, "__by"]).select(*keys, path, wanted, F.lit(FILE_NAME).alias("score")),
+    ]
+    best = reduce(DataFrame.union, found).groupBy(*keys, path).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(wanted).alias("w"))).alias("b"))
+    return left.select(*keys, row, path).join(best, [*keys, path]).select(*keys, row, F.col("b.w").alias(wanted), (-F.col("b.s")).alias("score"))
+
+
+def matching(left: DataFrame, right: DataFrame, path: str, wanted: str) -> DataFrame:
+    """All distinct pairs (path, wanted) of which one ends with the other or that are equal from ``/src/`` on, by equi-joins
+    on endings."""
+    a, b = left.select(path).where(F.length(path) > 0).distinct(), right.select(wanted).where(F.length(wanted) > 0).distinct()
+    whole = lambda df, c: df.withColumn("__tail", F.col(c))
+    equal_or_longer = _tails(a, path, b, wanted).unionByName(whole(a, path)).join(whole(b, wanted), "__tail")
+    shorter = whole(a, path).join(_tails(b, wanted, a, path), "__tail")
+    inner = a.withColumn("__tail", src_suffix(F.col(path))).join(b.withColumn("__tail", src_suffix(F.col(wanted))), "__tail")
+    return reduce(DataFrame.union, [x.select(path, wanted) for x in (equal_or_longer, shorter, inner)]).distinct()
 
 
 def module_path(path: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atomweave.operators import scan
+
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, and how often."""
@@ -29,20 +31,30 @@ def discriminating(df: DataFrame, base: str, value: str, place: str, row: Sequen
     return (df if alone else df.join(shared, base, "left_semi")).join(lone, [base, value], "left_semi").groupBy(*row).agg(F.min_by(value, F.struct(place, value)).alias(value))
 
 
-def flagged_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, width: int, name: str) -> DataFrame:
-    """``df`` with the nearest decided (non-null) flag of the ``width`` rows before each."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-width, -1)
-    return df.withColumn(name, F.last(flag, ignorenulls=True).over(w))
+def _near(df: DataFrame, keys: Sequence[str], order: Sequence[str], before: int, after: int, size: int | None, value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` over a window of some rows before and after.  With ``size`` the order is a position 1, 2, 3, ...
+    and a key is cut into blocks of so many, each with what it needs of its neighbours."""
+    whole = df if size is None else scan.haloed(df, order[0], size, max(-before, 0), max(after, 0))
+    w = Window.partitionBy(*keys, *([] if size is None else ["__block"])).orderBy(*order).rowsBetween(before, after)
+    out = whole.withColumn(name, value.over(w))
+    return out if size is None else out.where("__own").drop("__own", "__block")
+
+
+def flagged_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, width: int, name: str, size: int | None = None) -> DataFrame:
+    """``df`` with the nearest decided (non-null) flag of the ``width`` rows before each; ``size``: see ``_near``."""
+    return _near(df, keys, order, -width, -1, size, F.last(flag, ignorenulls=True), name)
 
 
-def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, name: str) -> DataFrame:
-    """``df`` with the values of this and the next ``width - 1`` rows as an array in order."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, width - 1)
-    return df.withColumn(name, F.collect_list(value).over(w))
+def following(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: int, name: str, size: int | None = None) -> DataFrame:
+    """``df`` with the values of this and the next ``width - 1`` rows as an array in order; ``size``: see ``_near``."""
+    return _near(df, keys, order, 0, width - 1, size, F.collect_list(value), name)
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], opens: Column, name: str = "block") -> DataFrame:
-    """``df`` with the number of the block each row is in; a row for which ``opens`` holds begins a new one."""
+def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], opens: Column, name: str = "block", size: int | None = None) -> DataFrame:
+    """``df`` with the number of the block each row is in; a row for which ``opens`` holds begins a new one.  With ``size``
+    the order is a position, and a key is worked on in pieces of so many."""
+    if size is not None:
+        return scan.summed(scan.blocked_by_position(df, order[0], size), keys, order, opens.cast("int"), name).drop("__block")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.sum(F.when(opens, 1).otherwise(0)).over(w).cast("long"))
 

@@ -7,15 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atomweave.operators import ranges, scan
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "nth") -> DataFrame:
-    """``df`` with the running number of each row within its key."""
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "nth", blocks: int | None = None) -> DataFrame:
+    """``df`` with the running number of each row within its key; with ``blocks``, keys of any size are cut along the
+    first column of the order."""
+    if blocks and isinstance(order[0], str):
+        return scan.numbered(scan.blocked(df, order[0], blocks), keys, order, name).drop("__block")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def nth_zip(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str | Column], right_order: Sequence[str | Column], how: str = "inner") -> DataFrame:
-    """The n-th left row of a key with its n-th right row; both sides share one partitioning by key."""
-    return numbered(left, keys, left_order).join(numbered(right, keys, right_order), [*keys, "nth"], how)
+def nth_zip(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: Sequence[str | Column], right_order: Sequence[str | Column], how: str = "inner", blocks: int | None = None) -> DataFrame:
+    """The n-th left row of a key with its n-th right row; both sides share one partitioning by key, or with ``blocks`` by
+    key and number."""
+    return numbered(left, keys, left_order, blocks=blocks).join(numbered(right, keys, right_order, blocks=blocks), [*keys, "nth"], how)
 
 
 def lookback(points: DataFrame, refs: DataFrame, keys: Sequence[str], point: str, ref: str, width: int) -> DataFrame:
@@ -26,55 +32,41 @@ def lookback(points: DataFrame, refs: DataFrame, keys: Sequence[str], point: str
     return asked.join(refs.withColumn("__at", F.col(ref)), [*keys, "__at"]).withColumn("offset", F.col(point) - F.col("__at")).drop("__at")
 
 
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str) -> DataFrame:
-    """``df`` with the last non-null ``value`` at or before each row: what it belongs to."""
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str, blocks: int | None = None) -> DataFrame:
+    """``df`` with the last non-null ``value`` at or before each row: what it belongs to.  ``blocks`` as for ``numbered``."""
+    if blocks and isinstance(order[0], str):
+        return scan.carried(scan.blocked(df, order[0], blocks), keys, order, value, name).drop("__block")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def asof_backward(points: DataFrame, starts: DataFrame, keys: Sequence[str], point: str, start: str, value: Sequence[str], how: str = "left") -> DataFrame:
+def asof_backward(points: DataFrame, starts: DataFrame, keys: Sequence[str], point: str, start: str, value: Sequence[str], how: str = "left", blocks: int | None = None) -> DataFrame:
     """Each point with the values of the greatest start at or before it: both sides in one order, values carried forward.
 
     No pair of a point and a start is made.  ``starts`` must have one row for each key and start."""
-    held = F.struct(F.col(start).alias("__start"), *value)
+    held = F.struct(F.col(start).alias("__start_at"), *value)
     both = points.withColumns({"__at": F.col(point), "__held": F.lit(None), "__kind": F.lit(1)}).unionByName(
         starts.select(*keys, F.col(start).alias("__at"), held.alias("__held"), F.lit(0).alias("__kind")), allowMissingColumns=True
     )
-    out = carry_forward(both, keys, ["__at", "__kind"], F.col("__held"), "__last").where("__kind = 1")
-    out = out.select(*points.columns, F.col("__last.__start").alias(start), *[F.col(f"__last.{v}").alias(v) for v in value])
+    out = carry_forward(both, keys, ["__at", "__kind"], F.col("__held"), "__last_held", blocks).where("__kind = 1")
+    out = out.select(*points.columns, F.col("__last_held.__start_at").alias(start), *[F.col(f"__last_held.{v}").alias(v) for v in value])
     return out if how == "left" else out.where(F.col(start).isNotNull())
 
 
-def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, bucket: int | None = None) -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str) -> DataFrame:
     """Each point with the shortest span of its key that contains it (then the one that starts first); points in none go.
-    Equal points are worked on once and answered each.
-
-    With ``bucket``, spans are cut at its multiples, which spreads keys of many spans; whole numbers only."""
+    Equal points are worked on once and answered each."""
     own, plain = [c for c in spans.columns if c not in keys], points.columns
     points = points.groupBy(*plain).agg(F.count("*").alias("__times"))
-    points, spans, on = _bucketed(points, spans, keys, point, first, last, bucket)
     best = F.min(F.struct((F.col(last) - F.col(first)).alias("__len"), F.col(first).alias("__first"), F.struct(*own).alias("__own"))).alias("__best")
-    inside = points.join(spans, on).where(F.col(point).between(F.col(first), F.col(last)))
-    out = inside.groupBy(*plain, "__times").agg(best).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    out = ranges.inside(points, spans, keys, point, first, last).groupBy(*plain, "__times").agg(best).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
     return out.select(*plain, *[F.col(f"__best.__own.`{c}`").alias(c) for c in own])
 
 
-def _bucketed(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, bucket: int | None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with the buckets that they're in, times in seconds, and what to join them on."""
-    if not bucket:
-        return points, spans, list(keys)
-    times = "timestamp" in points.schema[point].dataType.typeName()
-    at = lambda c: F.floor((F.col(c).cast("timestamp") if times else F.col(c)).cast("long") / bucket)
-    return points.withColumn("__b", at(point)), spans.withColumn("__b", F.explode(F.sequence(at(first), at(last)))), [*keys, "__b"]
-
-
-def exact_then_interval(left: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, row: Sequence[str], bucket: int | None = None) -> DataFrame:
-    """Each left row (told apart by ``row``) with the span that starts at its point, else the latest one around it.
-
-    With ``bucket``, spans are cut at its multiples (seconds, if points are times), which spreads keys of many spans."""
+def exact_then_interval(left: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, row: Sequence[str]) -> DataFrame:
+    """Each left row (told apart by ``row``) with the span that starts at its point, else the latest one around it."""
     own = [c for c in spans.columns if c not in keys]
-    points, cut, on = _bucketed(left, spans, keys, point, first, last, bucket)
-    joined = points.join(cut, on).where(F.col(point).between(F.col(first), F.col(last)))
+    joined = ranges.inside(left, spans, keys, point, first, last)
     best = joined.groupBy(*row).agg(F.max(F.struct((F.col(point) == F.col(first)).alias("exact"), *[F.col(c) for c in [first, *[c for c in own if c != first]]])).alias("__s"))
     return left.join(best.select(*row, "__s"), list(row), "left").select(*left.columns, *[F.col(f"__s.`{c}`").alias(c) for c in own], F.col("__s.exact").alias("exact"))
 
@@ -83,17 +75,19 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     """Each left row with the right row of its key whose value is nearest and at most ``tolerance`` away (or inside the
     left row's ``span``); equal distances go to the least ``tie``.  ``also``: what else must hold of both rows.
 
-    Values are cut into bands as wide as the tolerance, so only neighbouring bands meet."""
+    Values are cut into bands as wide as the tolerance, so only neighbouring bands meet; a span and its tolerance are cut
+    into dyadic cells, and a right row asks for those that it lies in."""
     own = [c for c in right.columns if c not in keys]
-    width = max(tolerance, 1e-9)
+    distance = F.abs(F.col(left_value) - F.col(right_value))
+    near = distance <= tolerance
     if span is None:
+        width = max(tolerance, 1e-9)
         asked = left.withColumn("__b", F.explode(F.sequence(F.floor((F.col(left_value) - tolerance) / width), F.floor((F.col(left_value) + tolerance) / width))))
         met = asked.join(right.withColumn("__b", F.floor(F.col(right_value) / width)), [*keys, "__b"])
     else:
-        met = left.join(right, list(keys))
-    distance = F.abs(F.col(left_value) - F.col(right_value))
-    near = distance <= tolerance
-    if span is not None:
+        reach = int(tolerance)
+        around = left.withColumns({"__low": F.least(F.col(left_value) - reach, F.col(span[0])), "__high": F.greatest(F.col(left_value) + reach, F.col(span[1]))})
+        met = ranges.inside(right, around, keys, right_value, "__low", "__high")
         near = near | F.col(right_value).between(F.col(span[0]), F.col(span[1]))
     if also is not None:
         near = near & also

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomweave.functions import paths, symbols, text
-from atomweave.operators import closure, grouping, joins, rules
+from atomweave.operators import closure, grouping, joins, rules, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,7 +73,7 @@ def stop_word_filter(t):
 def nth_zip_join(t):
     e = t("events").select(F.col("user_id").alias("k"), "event_id", "ts")
     o = t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderdate")
-    return joins.nth_zip(e, o, ["k"], ["ts", "event_id"], ["o_orderdate", "o_orderkey"]).select("k", big("nth"), "event_id", "o_orderkey")
+    return joins.nth_zip(e, o, ["k"], ["ts", "event_id"], ["o_orderdate", "o_orderkey"], blocks=scan.BLOCKS).select("k", big("nth"), "event_id", "o_orderkey")
 
 
 @query("""WITH e AS (SELECT user_id AS k, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
@@ -82,7 +82,7 @@ def nth_zip_join(t):
 def nth_zip_left(t):
     e = t("events").select(F.col("user_id").alias("k"), "event_id", "ts")
     o = t("orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderdate")
-    return joins.nth_zip(e, o, ["k"], ["ts", "event_id"], ["o_orderdate", "o_orderkey"], "left").select("k", big("nth"), "event_id", "o_orderkey")
+    return joins.nth_zip(e, o, ["k"], ["ts", "event_id"], ["o_orderdate", "o_orderkey"], "left", scan.BLOCKS).select("k", big("nth"), "event_id", "o_orderkey")
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
@@ -110,7 +110,7 @@ def line_hints(t):
     SELECT caller, event_type AS callee, count(*) AS n FROM e WHERE caller IS NOT NULL AND event_type <> 'signup' GROUP BY ALL""")
 def carry_forward_scope(t):
     """The call graph's core on its own: what happens belongs to the last definition before it."""
-    e = joins.carry_forward(t("events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "caller")
+    e = joins.carry_forward(t("events"), ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "caller", scan.BLOCKS)
     return e.where(F.col("caller").isNotNull() & (F.col("event_type") != "signup")).groupBy("caller", F.col("event_type").alias("callee")).agg(F.count("*").alias("n"))
 
 
@@ -122,7 +122,7 @@ def exact_then_interval(t):
     o = t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey", F.col("o_orderdate").alias("a"))
     spans = o.select("k", F.col("o_orderkey").alias("span"), "a", (F.col("a") + F.expr("INTERVAL 30 DAYS")).alias("b"))
     p = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("at")).join(o.select("k", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
-    return joins.exact_then_interval(p, spans.select("k", "a", "span", "b"), ["k"], "at", "a", "b", ["l_orderkey", "l_linenumber"], bucket=60 * 86400).select("l_orderkey", "l_linenumber", "span", "exact")
+    return joins.exact_then_interval(p, spans.select("k", "a", "span", "b"), ["k"], "at", "a", "b", ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "span", "exact")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 7 DAY THEN 'precondition' WHEN l_shipdate BETWEEN o_orderdate + INTERVAL 5 DAY AND o_orderdate + INTERVAL 30 DAY THEN 'postcondition' ELSE 'inner' END AS location FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
@@ -141,7 +141,7 @@ def innermost_interval(t):
     a = day("o_orderdate")
     s = t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey", a.alias("a"), (a + 10 + F.col("o_orderkey") % 50).alias("b"))
     p = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("k"), "l_orderkey", "l_linenumber", day("l_shipdate").alias("at"))
-    return joins.innermost(p, s.select("k", "o_orderkey", "a", "b"), ["k"], "at", "a", "b", bucket=64).select("l_orderkey", "l_linenumber", "o_orderkey", (F.col("b") - F.col("a")).alias("width"))
+    return joins.innermost(p, s.select("k", "o_orderkey", "a", "b"), ["k"], "at", "a", "b").select("l_orderkey", "l_linenumber", "o_orderkey", (F.col("b") - F.col("a")).alias("width"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderdate AS start, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
@@ -172,7 +172,7 @@ def nearest_within_tolerance(t):
 @query("""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages),
     q AS (SELECT DISTINCT regexp_extract(path, '[^/]+/[^/]+$') AS wanted FROM p),
     f AS (SELECT *, regexp_extract(wanted, '[^/]*$') AS file FROM q WHERE wanted <> ''),
-    s AS (SELECT page_id, wanted, CASE WHEN path = wanted THEN 3 WHEN ends_with(path, '/' || wanted) OR ends_with(wanted, '/' || path) THEN 2 ELSE 1 END AS score FROM p JOIN f ON regexp_extract(path, '[^/]*$') = file WHERE file <> '')
+    s AS (SELECT page_id, wanted, CASE WHEN path = wanted THEN 3 WHEN ends_with(path, wanted) OR ends_with(wanted, path) THEN 2 ELSE 1 END AS score FROM p JOIN f ON regexp_extract(path, '[^/]*$') = file AND file <> '' OR ends_with(path, wanted) OR ends_with(wanted, path) WHERE path <> '')
     SELECT page_id, wanted, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, wanted) AS rn FROM s) WHERE rn = 1""")
 def path_suffix_score(t):
     p = t("pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))

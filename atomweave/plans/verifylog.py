@@ -212,11 +212,10 @@ def match_atoms(functions: DataFrame, atoms: DataFrame, tolerance: int = 5, use_
     """``functions`` (name, file, lines_start, lines_end) with the code_name of the nearest atom of equal name whose path
     matches by suffix and whose first line lies in the function (``use_span``) or within ``tolerance`` of its start."""
     bare = F.regexp_extract("display_name", "(?s)^(?:.*::)?(.*)$", 1) if name_match == "bare" else F.col("display_name")
-    # paths that match end alike, at least in their last letters
-    tail = lambda c: F.expr(f"right({c}, 4)").alias("tail")
-    a = atoms.select(bare.alias("name"), tail("code_path"), "code_name", "code_path", F.col("lines_start").alias("atom_line"))
     keys = ["name", "file", "lines_start", "lines_end"]
-    own = functions.select(*keys).distinct().withColumn("tail", tail("file"))
-    same = paths.same_suffix(F.col("file"), F.col("code_path")) | (paths.src_suffix(F.col("file")) == paths.src_suffix(F.col("code_path")))
-    best = joins.nearest_within(own, a, ["name", "tail"], "lines_start", "atom_line", tolerance, keys, "code_name", ("lines_start", "lines_end") if use_span else None, same)
+    a = atoms.select(bare.alias("name"), "code_name", "code_path", F.col("lines_start").alias("atom_line"))
+    # what matches are paths first, then functions and atoms of such paths and one name by the cells of their lines
+    own = functions.select(*keys).distinct()
+    own = own.join(paths.matching(own, a, "file", "code_path"), "file")
+    best = joins.nearest_within(own, a, ["name", "code_path"], "lines_start", "atom_line", tolerance, keys, "code_name", ("lines_start", "lines_end") if use_span else None)
     return functions.join(best.select(*keys, "code_name"), keys)
