@@ -93,18 +93,19 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> int:
         except OSError:
             print("no verifier output is given or kept", file=sys.stderr)
             return 1
-    logs = documents.read_logs(spark, path, code).withColumn("log_id", F.lit("log"))
+    lines = documents.read_log_lines(spark, path).withColumn("log_id", F.lit("log"))
+    logs = spark.createDataFrame([("log", code)], "log_id string, exit_code int")
     if a.from_file and a.data:
         sinks.write_cache(a.data, project, a.package, code, Path(path).read_text())
     found = functions(spark, project).where("name IS NOT NULL AND mode <> 'spec'").withColumn("log_id", F.lit("log"))
-    rows, summary = verifylog.analyze(logs, found, a.verify_only_module, a.verify_function)
+    rows, summary = verifylog.analyze(logs, found, a.verify_only_module, a.verify_function, lines)
     state = summary.first().asDict()
     if a.with_atoms:
         sinks.write_text(sinks.dictionary(verifylog.proofs(rows, index.read_atoms(spark, a.with_atoms)), "code_name", ["code_path", "code_line", "verified", "status"]), a.output)
     else:
         listed = {c: [{"display-name": r["name"], "code-path": r["file"], "code-text": {"lines-start": r["lines_start"], "lines-end": r["lines_end"]}} for r in rows.where(F.col("category") == c).orderBy("file", "lines_start").toLocalIterator()] for c in ("failed", "verified", "unverified")}
-        errors = verifylog.failures(verifylog.log_lines(logs)).orderBy("pos").select("error_type", "file", F.col("line_number").alias("line"), "column", "message", "assertion_details", "full_error_text")
-        told = verifylog.messages(logs).orderBy("seq").select("level", "message", "file", F.col("line_number").alias("line"), "column", "full_message")
+        errors = verifylog.failures(lines).orderBy("pos").select("error_type", "file", F.col("line_number").alias("line"), "column", "message", "assertion_details", "full_error_text")
+        told = verifylog.messages(lines).orderBy("seq").select("level", "message", "file", F.col("line_number").alias("line"), "column", "full_message")
         said = lambda level: [{k: v for k, v in r.asDict().items() if k != "level"} for r in told.where(F.col("level") == level).toLocalIterator()]
         sinks.write_json(
             {

@@ -2,41 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atomweave.operators.cut import cut
 
 #: Frontiers that are kept apart before they're written as one.
 PARTS = 8
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut at a checkpoint in the shared folder (a temporary one only where none is set and the
-    executors are in this process)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): all that the seeds (id) lead to along edges (src, dst), themselves included; cycles are fine.
 
     Semi-naive: each round expands only what the round before found, and writes only what is new.  Rounds are as many as
     the longest shortest path."""
-    edges = _cut(edges.select("src", "dst").where("src <> dst").distinct())
-    frontier = _cut(seeds.select("id").where(F.col("id").isNotNull()).distinct())
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    frontier = cut(seeds.select("id").where(F.col("id").isNotNull()).distinct())
     parts = [frontier]
     while True:
         seen = reduce(DataFrame.union, parts)
-        frontier = _cut(edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
+        frontier = cut(edges.join(frontier, edges["src"] == frontier["id"], "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             return seen
         parts.append(frontier)
         if len(parts) > PARTS:
-            parts = [_cut(reduce(DataFrame.union, parts))]
+            parts = [cut(reduce(DataFrame.union, parts))]

@@ -65,12 +65,17 @@ def summed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], va
 
 def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column, name: str, before: bool = False, block: str = "__block") -> DataFrame:
     """``df``, which has blocks, with the last non-null ``value`` at (or only ``before``) each row of its key."""
-    own = _keyed(df, keys, value)
+    return carried_all(df, keys, order, {name: value}, before, block)
+
+
+def carried_all(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, Column], before: bool = False, block: str = "__block") -> DataFrame:
+    """``carried`` for several values at once, each by its own name."""
+    own = df.withColumn("__key", F.struct(*keys)).withColumns({f"__v_{n}": v for n, v in values.items()})
     place = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
-    last = own.groupBy("__key", block).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), place)).alias("__last"))
-    starts = last.withColumn("__start", F.last("__last", ignorenulls=True).over(_earlier(block))).drop("__last")
-    within = own.withColumn("__within", F.last("__value", ignorenulls=True).over(_reach(order, block, before)))
-    return within.join(starts, ["__key", block]).withColumn(name, F.coalesce("__within", "__start")).select(*[c for c in df.columns if c != name], name)
+    last = own.groupBy("__key", block).agg(*[F.max_by(f"__v_{n}", F.when(F.col(f"__v_{n}").isNotNull(), place)).alias(f"__l_{n}") for n in values])
+    starts = last.select("__key", block, *[F.last(f"__l_{n}", ignorenulls=True).over(_earlier(block)).alias(f"__s_{n}") for n in values])
+    within = own.withColumns({f"__w_{n}": F.last(f"__v_{n}", ignorenulls=True).over(_reach(order, block, before)) for n in values})
+    return within.join(starts, ["__key", block]).select(*[c for c in df.columns if c not in values], *[F.coalesce(f"__w_{n}", f"__s_{n}").alias(n) for n in values])
 
 
 def haloed(df: DataFrame, place: str, size: int, before: int, after: int) -> DataFrame:

@@ -5,22 +5,21 @@ Logs are rows (log_id, text); any number of them is worked on at once.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.functions import paths
-from atomweave.functions.text import lines_of, strip, without_ansi
-from atomweave.operators import grouping, joins
+from atomweave.functions.text import strip, without_ansi
+from atomweave.operators import grouping, joins, scan
+from atomweave.operators.cut import cut
 
 LOCATION = r"-->\s+([^:]+):(\d+):(\d+)"
 #: The failures that a verifier reports, in order of precedence.
 FAILURES = ("assertion failed", "postcondition not satisfied", "precondition not satisfied", "loop invariant not preserved", "loop invariant not satisfied on entry", "assertion not satisfied")
 RESULTS = r"verification results::\s*(\d+)\s+verified,\s*(\d+)\s+errors?"
 LOOKBACK, CONTEXT, DETAILS = 10, 15, 10
+#: Lines of a piece of a log that one task looks at.
+PIECE = 100_000
 
 
 def _one(*parts: str) -> Column:
@@ -41,15 +40,18 @@ def locations(lines: DataFrame) -> DataFrame:
     timing = _one("has been running for", "finished in")
     error = (F.startswith(bare, F.lit("error:")) | F.startswith(bare, F.lit("error["))) & ~timing
     flag = F.when(error, True).when(F.startswith(bare, F.lit("note:")) & timing, False)
-    marked = grouping.flagged_before(lines, ["log_id"], ["pos"], flag, LOOKBACK, "actual")
+    marked = grouping.flagged_before(lines, ["log_id"], ["pos"], flag, LOOKBACK, "actual", PIECE)
     return marked.where(F.col("actual") & F.col("line").rlike(LOCATION)).select("log_id", "pos", F.regexp_extract("line", LOCATION, 1).alias("file"), F.coalesce(F.regexp_extract("line", LOCATION, 2).try_cast("int"), F.lit(0)).alias("line_number"))
 
 
 def failures(lines: DataFrame) -> DataFrame:
     """(log_id, pos, error_type, file, line_number, column, message, assertion_details, full_error_text)."""
-    own = grouping.following(lines, ["log_id"], ["pos"], "line", CONTEXT + 1, "ahead")
     kind = F.coalesce(*[F.when(F.contains(F.col("line"), F.lit(f)), f) for f in FAILURES])
-    own = own.withColumn("error_type", kind).where(F.col("error_type").isNotNull() & F.contains(F.lower("line"), F.lit("error")))
+    own = lines.withColumn("error_type", kind).where(F.col("error_type").isNotNull() & F.contains(F.lower("line"), F.lit("error")))
+    # only these lines ask for what follows them, by position
+    asked = own.select("log_id", F.col("pos").alias("at"), F.explode(F.sequence(F.col("pos"), F.col("pos") + CONTEXT)).alias("pos"))
+    ahead = asked.join(lines.select("log_id", "pos", "line"), ["log_id", "pos"]).groupBy("log_id", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("ahead"))
+    own = own.join(ahead.withColumnRenamed("at", "pos"), ["log_id", "pos"])
     places = F.filter(F.transform(F.slice("ahead", 1, CONTEXT), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["x"].rlike(LOCATION))
     own = own.withColumn("place", F.get(places, F.lit(0)))
     after = lambda i: strip(F.get("ahead", i + 1))
@@ -72,84 +74,79 @@ def failures(lines: DataFrame) -> DataFrame:
 
 # ---- compiler messages ------------------------------------------------------------------------------------------
 
-#: What a line is: the first of these that fits.
+#: What a line is: the first of these that fits.  Fixed values: the forms are the compiler's and the verifier's.
 _KINDS = [
-    ("results", re.compile(RESULTS)),
-    ("crate", re.compile(r"error: could not compile `([^`]+)`")),
-    ("memory", re.compile(r"memory allocation of \d+ bytes failed")),
-    ("exit", re.compile(r"Verus command completed with exit code: (\d+)")),
-    ("process", re.compile(r"process didn't exit successfully: (.+)")),
-    ("failure", re.compile("|".join(f"error: {f}" for f in FAILURES))),
-    ("error", re.compile(r"error(?:\[E\d+\])?: (.+)")),
-    ("warning", re.compile(r"warning: (.+)")),
-    ("place", re.compile(LOCATION)),
-    ("more", re.compile(r"^[|^=]|^Caused by:|^\(signal:|\(exit status: \d+\)")),
-    ("blank", re.compile(r"^$")),
+    ("results", RESULTS),
+    ("crate", r"error: could not compile `([^`]+)`"),
+    ("memory", r"memory allocation of \d+ bytes failed"),
+    ("exit", r"Verus command completed with exit code: (\d+)"),
+    ("process", r"(?s)process didn't exit successfully: (.+)"),
+    ("failure", "|".join(f"error: {f}" for f in FAILURES)),
+    ("error", r"(?s)error(?:\[E\d+\])?: (.+)"),
+    ("warning", r"(?s)warning: (.+)"),
+    ("place", LOCATION),
+    ("more", r"^[|^=]|^Caused by:|^\(signal:|\(exit status: \d+\)"),
+    ("blank", r"^$"),
 ]
-_ADDS = {"memory": lambda m, line: f" - {line}", "exit": lambda m, line: f" (exit code: {m[1]})", "process": lambda m, line: f" - {m[1]}"}
-_OPENS = {
-    "crate": lambda m: f"Compilation failed for crate: {m[1]}",
-    "exit": lambda m: f"Verus command failed with exit code {m[1]}",
-    "process": lambda m: f"Process execution failed: {m[1]}",
-    "error": lambda m: m[1].strip(),
-    "warning": lambda m: m[1].strip(),
-}
-
-
-def _number(digits: str) -> int:
-    """A number of 32 bits; a larger one is 0."""
-    return int(digits) if len(digits) < 11 and int(digits) < 1 << 31 else 0
-
-
-def messages_of(text: str) -> Iterator[dict]:
-    """The errors and warnings of one log in the order in which they close.  At most one of each is open; a place or a
-    continuation goes to the error if there is one, a blank line closes both."""
-    done: list[dict] = []
-    open_: dict[str, dict] = {}
-    finished = bool(re.search(RESULTS, text))
-
-    def begin(level: str, message: str, line: str) -> dict:
-        if level in open_:
-            done.append(open_.pop(level))
-        open_[level] = {"level": level, "message": message, "file": None, "line": None, "column": None, "full_message": [line]}
-        return open_[level]
-
-    for line in map(str.strip, lines_of(text)):
-        kind, m = next(((k, m) for k, p in _KINDS if (m := p.search(line))), (None, None))
-        error = open_.get("error")
-        if kind in (None, "results", "failure") or kind == "crate" and finished:
-            continue
-        if kind in _ADDS and error:
-            error["full_message"].append(line)
-            error["message"] += _ADDS[kind](m, line)
-        elif kind == "memory":
-            done.append({"level": "error", "message": line, "file": None, "line": None, "column": None, "full_message": [line]})
-        elif kind in _OPENS:
-            begin("warning" if kind == "warning" else "error", _OPENS[kind](m), line)
-        elif kind == "blank":
-            done.extend(open_.pop(level) for level in ("error", "warning") if level in open_)
-        elif one := error or open_.get("warning"):
-            one["full_message"].append(line)
-            if kind == "place":
-                one |= {"file": m[1], "line": _number(m[2]), "column": _number(m[3])}
-            elif one is error:
-                if line.startswith("Caused by:") or "(signal:" in line:
-                    one["message"] += f" - {line}"
-                if status := re.search(r"\(exit status: (\d+)\)", line):
-                    one["message"] += f" (exit status: {status[1]})"
-    return iter([*done, *open_.values()])
-
-
-def messages(logs: DataFrame) -> DataFrame:
-    """(log_id, seq, level, message, file, line_number, column, full_message) of compiler errors and warnings."""
-    kind = logs.schema["log_id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, n, m["level"], m["message"], m["file"], m["line"], m["column"], m["full_message"]) for i, text in zip(pdf["log_id"], pdf["text"]) for n, m in enumerate(messages_of(text or ""))]
-            yield pd.DataFrame(rows, columns=["log_id", "seq", "level", "message", "file", "line_number", "column", "full_message"]).astype({"line_number": "Int64", "column": "Int64"})
-
-    return logs.select("log_id", "text").mapInPandas(run, f"log_id {kind}, seq int, level string, message string, file string, line_number long, column long, full_message array<string>")
+_STATUS = r"\(exit status: (\d+)\)"
+
+
+def _states(lines: DataFrame) -> DataFrame:
+    """Lines (log_id, pos, line, kind, level, id) that belong to a message, and blank ones: which message each is part of.
+
+    What is open is a state that each line maps to another: it opens an error or a warning, closes both, or leaves all as it
+    is.  Such maps compose to the last one that isn't the identity, so pieces of a log are scanned apart and a short table
+    of their last maps tells where each begins."""
+    bare = strip(F.col("line"))
+    kind = F.coalesce(*[F.when(bare.rlike(p), k) for k, p in _KINDS])
+    # what is looked at again and again is written once
+    told = cut(lines.select("log_id", "pos", bare.alias("line"), kind.alias("kind")).where("kind IS NOT NULL"))
+    # in a log with results, crates that didn't compile count for nothing
+    done = told.where("kind = 'results'").select("log_id").distinct()
+    crates = told.where("kind = 'crate'").join(done, "log_id", "left_anti")
+    told = told.where("kind NOT IN ('results', 'failure', 'crate')").unionByName(crates)
+    pieces = scan.blocked_by_position(told, "pos", PIECE)
+    opens = F.when(F.col("kind").isin("error", "crate", "exit", "process"), True).when(F.col("kind") == "blank", False)
+    pieces = scan.carried(pieces, ["log_id"], ["pos"], opens, "open", before=True)
+    begins = F.col("kind").isin("error", "crate") | (F.col("kind").isin("exit", "process") & ~F.coalesce("open", F.lit(False)))
+    error, warning = F.when(begins, F.col("pos")).when(F.col("kind") == "blank", 0), F.when(F.col("kind") == "warning", F.col("pos")).when(F.col("kind") == "blank", 0)
+    pieces = scan.carried_all(pieces, ["log_id"], ["pos"], {"error_before": error, "warning_before": warning}, before=True)
+    pieces = pieces.withColumns({"error_now": F.coalesce(error, "error_before", F.lit(0)), "warning_now": F.coalesce(warning, "warning_before", F.lit(0))})
+    alone = (F.col("kind") == "memory") & (F.col("error_now") == 0)
+    part = F.when(begins, "error").when(F.col("kind") == "warning", "warning").when(alone, "alone").when(F.col("kind") == "blank", None).when(F.col("error_now") > 0, "error").when(F.col("kind").isin("place", "more") & (F.col("warning_now") > 0), "warning")
+    ids = F.when(part == "error", F.col("error_now")).when(part == "warning", F.col("warning_now")).when(part == "alone", F.col("pos"))
+    closed = F.array_compact(F.array(
+        F.when((begins | (F.col("kind") == "blank")) & (F.col("error_before") > 0), F.struct(F.lit("error").alias("level"), F.col("error_before").alias("id"), F.lit(0).alias("turn"))),
+        F.when(F.col("kind").isin("warning", "blank") & (F.col("warning_before") > 0), F.struct(F.lit("warning").alias("level"), F.col("warning_before").alias("id"), F.lit(1).alias("turn"))),
+        F.when(alone, F.struct(F.lit("alone").alias("level"), F.col("pos").alias("id"), F.lit(0).alias("turn"))),
+    ))
+    return pieces.select("log_id", "pos", "line", "kind", part.alias("level"), ids.alias("id"), closed.alias("closed")).where(F.col("level").isNotNull() | (F.size("closed") > 0))
+
+
+def messages(lines: DataFrame) -> DataFrame:
+    """(log_id, seq, level, message, file, line_number, column, full_message) of compiler errors and warnings in the order in
+    which they close.  At most one of each is open; a place or a continuation goes to the error if there is one, a blank
+    line closes both.  ``lines``: (log_id, pos, line); a log may be of any length."""
+    rows = cut(_states(lines))
+    line, pattern = F.col("line"), dict(_KINDS)
+    first = F.col("pos") == F.col("id")
+    number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0)).cast("long")
+    said = {"crate": F.concat(F.lit("Compilation failed for crate: "), F.regexp_extract(line, pattern["crate"], 1)), "exit": F.concat(F.lit("Verus command failed with exit code "), F.regexp_extract(line, pattern["exit"], 1)), "process": F.concat(F.lit("Process execution failed: "), F.regexp_extract(line, pattern["process"], 1)), "memory": line}
+    said |= {k: strip(F.regexp_extract(line, pattern[k], 1)) for k in ("error", "warning")}
+    adds = {"memory": F.concat(F.lit(" - "), line), "exit": F.concat(F.lit(" (exit code: "), F.regexp_extract(line, pattern["exit"], 1), F.lit(")")), "process": F.concat(F.lit(" - "), F.regexp_extract(line, pattern["process"], 1))}
+    cause = F.when(F.startswith(line, F.lit("Caused by:")) | F.contains(line, F.lit("(signal:")), F.concat(F.lit(" - "), line)).otherwise("")
+    status = F.when(line.rlike(_STATUS), F.concat(F.lit(" (exit status: "), F.regexp_extract(line, _STATUS, 1), F.lit(")"))).otherwise("")
+    more = F.when((F.col("kind") == "more") & (F.col("level") == "error"), F.concat(cause, status)).otherwise("")
+    text = F.when(first, F.coalesce(*[F.when(F.col("kind") == k, x) for k, x in said.items()])).otherwise(F.coalesce(*[F.when(F.col("kind") == k, x) for k, x in adds.items()], more))
+    place = F.when(F.col("kind") == "place", F.struct(F.regexp_extract(line, LOCATION, 1).alias("file"), number(F.regexp_extract(line, LOCATION, 2)).alias("line_number"), number(F.regexp_extract(line, LOCATION, 3)).alias("column")))
+    parts = rows.where("level IS NOT NULL").select("log_id", "level", "id", "pos", "line", text.alias("text"), place.alias("place"))
+    found = parts.groupBy("log_id", "level", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "text"))).alias("parts"), F.max_by("place", F.when(F.col("place").isNotNull(), F.col("pos"))).alias("place"))
+    closed = rows.select("log_id", F.col("pos").alias("end"), F.inline("closed"))
+    # messages that nothing closes come last, as they began
+    found = found.join(closed, ["log_id", "level", "id"], "left").withColumns({"end": F.coalesce("end", F.lit(2**62)), "turn": F.coalesce(F.col("turn").cast("long"), F.col("id"))})
+    listed = scan.numbered(cut(found).withColumn("__block", F.floor(F.col("end") / PIECE)), ["log_id"], ["end", "turn"], "seq")
+    level = F.when(F.col("level") == "warning", "warning").otherwise("error")
+    return listed.select("log_id", (F.col("seq") - 1).alias("seq"), level.alias("level"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("message"), F.col("place.file").alias("file"), F.col("place.line_number").alias("line_number"), F.col("place.column").alias("column"), F.transform("parts", lambda p: p["line"]).alias("full_message"))
 
 
 # ---- analysis ---------------------------------------------------------------------------------------------------
@@ -165,16 +162,18 @@ def failed_functions(functions: DataFrame, places: DataFrame) -> DataFrame:
     return joins.innermost(points, functions.select("log_id", "file", "name", "lines_start", "lines_end"), ["log_id", "file"], "line_number", "lines_start", "lines_end").select("log_id", "name", "file", "lines_start").distinct()
 
 
-def analyze(logs: DataFrame, functions: DataFrame, module: str | None = None, function: str | None = None) -> tuple[DataFrame, DataFrame]:
+def analyze(logs: DataFrame, functions: DataFrame, module: str | None = None, function: str | None = None, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(functions with category failed, unverified or verified; a summary row for each log with status and counts).
 
-    logs: (log_id, text, exit_code); functions: (log_id, name, file, lines_start, lines_end, has_requires, has_ensures,
-    has_trusted_assumption)."""
-    lines = log_lines(logs)
-    failed = failures(lines)
+    logs: (log_id, text, exit_code), or (log_id, exit_code) with their ``lines`` (log_id, pos, line) beside them; functions:
+    (log_id, name, file, lines_start, lines_end, has_requires, has_ensures, has_trusted_assumption)."""
+    lines = log_lines(logs) if lines is None else lines
+    failed = cut(failures(lines))  # this and the places are asked for many times, the lines behind them once
     places = locations(lines).select("log_id", "file", "line_number").union(failed.where("file IS NOT NULL AND line_number IS NOT NULL").select("log_id", "file", "line_number"))
-    told = messages(logs).groupBy("log_id").agg(F.count_if(F.col("level") == "error").alias("compilation_errors"), F.count_if(F.col("level") == "warning").alias("compilation_warnings"))
-    state = logs.select("log_id", "exit_code", F.col("text").rlike(RESULTS).alias("finished")).join(told, "log_id", "left").join(failed.groupBy("log_id").agg(F.count("*").alias("verification_errors")), "log_id", "left").fillna(0, ["compilation_errors", "compilation_warnings", "verification_errors"])
+    places = cut(places.distinct())
+    told = messages(lines).groupBy("log_id").agg(F.count_if(F.col("level") == "error").alias("compilation_errors"), F.count_if(F.col("level") == "warning").alias("compilation_warnings"))
+    done = lines.where(F.col("line").rlike(RESULTS)).select("log_id", F.lit(True).alias("finished")).distinct()
+    state = logs.select("log_id", "exit_code").join(done, "log_id", "left").fillna(False, ["finished"]).join(told, "log_id", "left").join(failed.groupBy("log_id").agg(F.count("*").alias("verification_errors")), "log_id", "left").fillna(0, ["compilation_errors", "compilation_warnings", "verification_errors"])
     lost = F.coalesce(F.col("exit_code") != 0, F.lit(False)) & (F.col("verification_errors") == 0)
     status = F.when(F.col("finished"), F.when(F.col("verification_errors") > 0, "verification_failed").otherwise("success")).when((F.col("compilation_errors") > 0) | lost, "compilation_failed").otherwise("success")
     state = state.withColumn("status", status)

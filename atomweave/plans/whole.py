@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atomweave.functions import paths, symbols
+from atomweave.operators import scan
 from atomweave.plans import callgraph, specs, verifylog
 from atomweave.plans.catalogue import big, query
 
@@ -128,9 +129,46 @@ def log_failures(t):
     return own.groupBy("log_id", "error_type", "file", big("line_number", "line"), F.lit(7).cast("long").alias("col")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH u AS (SELECT user_id AS log_id, count(*) FILTER (event_type = 'view') AS warnings FROM events GROUP BY 1) SELECT log_id, 'warning' AS level, 'unused' AS message, 'w.rs' AS file, warnings AS n FROM u WHERE warnings > 0""")
+#: Lines of three large logs, by the number of an event; the numbers say what kind of line comes next.
+_SAID = [
+    "error[E0308]: mismatched types", "  --> src/f%n.rs:12:7", "", "warning: unused import", "error: could not compile `c%n` (lib)", "   = note: more", "Caused by: a child", "  process didn't exit successfully: `rustc` (exit status: 101)",
+    "memory allocation of 8 bytes failed", "Verus command completed with exit code: 3", "checking", "(signal: 9, SIGKILL: kill)", "error: precondition not satisfied", "  |", " --> src/g%n.rs:99999999999:3", "error: %n", "", "warning: w%n", "(exit status: 1)",
+]
+
+
+def _long_logs(t):
+    """(log_id, pos, line): the events of every third user are one log, in which a line of results may stand."""
+    own = t("events").select((F.col("user_id") % 3).alias("log_id"), "event_id")
+    own = scan.numbered(scan.blocked(own, "event_id"), ["log_id"], ["event_id"], "pos").drop("__block")
+    said = F.get(F.array(*[F.lit(x) for x in _SAID]), ((F.col("event_id") * 7919 + F.floor(F.col("event_id") / 5)) % len(_SAID)).cast("int"))
+    line = F.when((F.col("log_id") == 0) & (F.col("event_id") % 5000 == 77), "verification results:: 1 verified, 0 errors").otherwise(F.replace(said, F.lit("%n"), (F.col("event_id") % 10).cast("string")))
+    return own.select("log_id", F.col("pos").cast("long").alias("pos"), line.alias("line"))
+
+
+_LISTED = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _SAID) + "]"
+_LINES = f"""e AS (SELECT user_id % 3 AS log_id, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) AS pos FROM events),
+    l AS (SELECT log_id, pos, trim(CASE WHEN log_id = 0 AND event_id % 5000 = 77 THEN 'verification results:: 1 verified, 0 errors' ELSE replace({_LISTED}[1 + (event_id * 7919 + event_id // 5) % {len(_SAID)}], '%n', (event_id % 10)::VARCHAR) END) AS line FROM e)"""
+
+
+@query(rf"""WITH {_LINES}, d AS (SELECT DISTINCT log_id FROM l WHERE line LIKE 'verification results%'),
+    k AS (SELECT *, CASE WHEN line LIKE 'verification results%' OR line LIKE '%error: precondition%' THEN NULL WHEN line LIKE 'error: could not compile%' THEN CASE WHEN log_id IN (SELECT log_id FROM d) THEN NULL ELSE 'crate' END WHEN line LIKE 'memory%' THEN 'memory' WHEN line LIKE 'Verus command%' THEN 'exit' WHEN line LIKE '%process didn%' THEN 'process'
+        WHEN line LIKE 'error%' THEN 'error' WHEN line LIKE 'warning: %' THEN 'warning' WHEN line LIKE '-->%' THEN 'place' WHEN line[1] IN ('|', '=') OR line LIKE 'Caused by:%' OR line LIKE '(signal:%' OR line LIKE '(exit status: %' THEN 'more' WHEN line = '' THEN 'blank' END AS kind FROM l),
+    o AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('error', 'crate', 'exit', 'process') THEN 1 WHEN kind = 'blank' THEN 0 END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM k WHERE kind IS NOT NULL),
+    b AS (SELECT *, kind IN ('error', 'crate') OR kind IN ('exit', 'process') AND open = 0 AS begins, CASE WHEN kind IN ('error', 'crate') OR kind IN ('exit', 'process') AND open = 0 THEN pos WHEN kind = 'blank' THEN 0 END AS em, CASE kind WHEN 'warning' THEN pos WHEN 'blank' THEN 0 END AS wm FROM o),
+    s AS (SELECT *, coalesce(last_value(em IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY pos), 0) AS e1, coalesce(last_value(wm IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY pos), 0) AS w1 FROM b),
+    p AS (SELECT *, CASE WHEN kind = 'blank' THEN NULL WHEN kind = 'warning' THEN 'w' WHEN e1 > 0 THEN 'e' WHEN kind = 'memory' THEN 'm' WHEN kind IN ('place', 'more') AND w1 > 0 THEN 'w' END AS lvl, CASE WHEN kind = 'warning' THEN pos WHEN e1 > 0 THEN e1 WHEN kind = 'memory' THEN pos ELSE w1 END AS id FROM s),
+    x AS (SELECT *, CASE WHEN pos = id THEN CASE kind WHEN 'crate' THEN 'Compilation failed for crate: ' || regexp_extract(line, '`([^`]+)`', 1) WHEN 'exit' THEN 'Verus command failed with exit code ' || regexp_extract(line, '([0-9]+)$', 1) WHEN 'process' THEN 'Process execution failed: ' || regexp_extract(line, 'successfully: (.+)', 1) WHEN 'memory' THEN line ELSE regexp_extract(line, ': (.+)', 1) END
+        WHEN kind = 'memory' THEN ' - ' || line WHEN kind = 'exit' THEN ' (exit code: ' || regexp_extract(line, '([0-9]+)$', 1) || ')' WHEN kind = 'process' THEN ' - ' || regexp_extract(line, 'successfully: (.+)', 1)
+        WHEN kind = 'more' AND lvl = 'e' THEN CASE WHEN line LIKE 'Caused by:%' OR line LIKE '%(signal:%' THEN ' - ' || line WHEN line LIKE '(exit status:%' THEN ' ' || line ELSE '' END ELSE '' END AS add FROM p WHERE lvl IS NOT NULL),
+    g AS (SELECT log_id, lvl, id, string_agg(add, '' ORDER BY pos) AS message, string_agg(line, chr(10) ORDER BY pos) AS whole, max(CASE WHEN kind = 'place' THEN pos END) AS at FROM x GROUP BY ALL),
+    c AS (SELECT g.*, (SELECT min(q.pos) FROM b q WHERE q.log_id = g.log_id AND q.pos > g.id AND (q.kind = 'blank' OR lvl = 'e' AND q.begins OR lvl = 'w' AND q.kind = 'warning')) AS ended FROM g),
+    n AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY CASE WHEN lvl = 'm' THEN id ELSE coalesce(ended, 1::BIGINT << 60) END, CASE WHEN ended IS NULL AND lvl <> 'm' THEN id WHEN lvl = 'w' THEN 1 ELSE 0 END) - 1 AS seq FROM c)
+    SELECT n.log_id, seq::INT AS seq, CASE lvl WHEN 'w' THEN 'warning' ELSE 'error' END AS level, message, nullif(regexp_extract(l.line, '> *([^:]+):', 1), '') AS file, CASE WHEN l.line LIKE '%src/f%' THEN 12 WHEN l.line IS NOT NULL THEN 0 END::BIGINT AS line_number, CASE WHEN l.line LIKE '%src/f%' THEN 7 WHEN l.line IS NOT NULL THEN 3 END::BIGINT AS col, sha256(whole) AS whole
+    FROM n LEFT JOIN l ON l.log_id = n.log_id AND l.pos = n.at""")
 def compiler_messages(t):
-    return verifylog.messages(_logs(t)).groupBy("log_id", "level", "message", "file").agg(F.count("*").alias("n"))
+    """Errors and warnings of large logs: error codes, places, continuations, crates, exit codes, both levels open at once."""
+    own = verifylog.messages(_long_logs(t))
+    return own.select("log_id", "seq", "level", "message", "file", "line_number", F.col("column").alias("col"), F.sha2(F.array_join("full_message", "\n"), 256).alias("whole"))
 
 
 @query(f"""WITH {_ERRORS}, u AS (SELECT user_id AS log_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') AS warnings FROM events GROUP BY 1),
