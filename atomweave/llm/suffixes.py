@@ -27,8 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomweave.llm.common import BROADCAST_ROWS, slices, small_batches, staged, utf8
@@ -228,59 +227,26 @@ def stretches(texts: DataFrame) -> DataFrame:
 
 
 # ---- suffix sorting ---------------------------------------------------------------------------------------------
+# Stretches are held in parcels, one row each, of about NODES anchors.  What must be put in order are keys of bytes: every
+# parcel sends the distinct ones it has, with counts, to the range in which they lie; a range sorts what it gets and tells
+# each key what the counts of all smaller ones add up to.
 
-
-def counted_before(df: DataFrame, order: list[str], counts: list[str]) -> DataFrame:
-    """``df`` (no two rows equal in ``order``) with before_c: the sum of each count over all rows that come earlier.
-
-    Ranges are sorted apart; the sums of whole ranges, one row for each, are all that the driver sees."""
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches):
-        part, sums = TaskContext.get().partitionId(), [0] * len(counts)
-        for batch in batches:
-            made = []
-            for i, c in enumerate(counts):
-                x = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                made.append(pa.array((np.cumsum(x) - x + sums[i]).astype(np.int64)))
-                sums[i] += int(x.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made, pa.array(np.full(batch.num_rows, part, np.int32))], [*batch.schema.names, *(f"before_{c}" for c in counts), "__range"])
-
-    kinds = ", ".join([f"`{c}` {kind}" for c, kind in df.dtypes] + [f"before_{c} long" for c in counts] + ["__range int"])
-    apart = staged(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, kinds))
-    totals = sorted(apart.groupBy("__range").agg(*[F.sum(c).cast("long").alias(c) for c in counts]).collect(), key=lambda r: r["__range"])
-    sums, rows = [0] * len(counts), []
-    for r in totals:
-        rows.append((r["__range"], *sums))
-        sums = [s + r[c] for s, c in zip(sums, counts)]
-    earlier = spark.createDataFrame(rows, ", ".join(["__range int"] + [f"__{c} long" for c in counts]))
-    out = apart.join(F.broadcast(earlier), "__range")
-    return out.withColumns({f"before_{c}": F.col(f"before_{c}") + F.col(f"__{c}") for c in counts}).drop("__range", *[f"__{c}" for c in counts])
-
-
-#: A chain of anchors of each stretch: places, symbols, number of the next anchor (-1: none), distance from the end modulo
-#: 3, and how many bytes from its place a symbol tells (ALL: to the end).
-CHAINS = "g long, at array<int>, symbol array<long>, next array<int>, kind array<int>, reach array<int>"
+#: Anchors of a parcel, and keys that are looked at, at most, to find even ranges.
+NODES, SAMPLE = 50_000, 100_000
+#: A symbol or triple that tells all bytes up to the end.
 ALL = 1 << 30
 
-
-_COLUMNS = [("at", pa.int32()), ("symbol", pa.int64()), ("next", pa.int32()), ("kind", pa.int32()), ("reach", pa.int32())]
-
-
-def _kinds(following: np.ndarray) -> np.ndarray:
-    """Distances from the ends of chains modulo 3; ``following`` numbers the anchors of all chains of a batch."""
-    out, ahead = [0] * len(following), following.tolist()
-    for i in range(len(ahead) - 1, -1, -1):
-        out[i] = (out[ahead[i]] + 1) % 3 if ahead[i] >= 0 else 1
-    return np.array(out, np.int64)
+#: A parcel's stretches (fingerprints, numbers of anchors) and their chains of anchors: places, symbols, number of the next
+#: anchor in the parcel (-1: none), distance from the end modulo 3, how many bytes from its place a symbol tells.
+_CHAIN = {"g": "<i8", "size": "<i4", "at": "<i4", "symbol": "<i8", "next": "<i4", "kind": "<i1", "reach": "<i4"}
+CHAINS = "p int, " + ", ".join(f"{c} binary" for c in _CHAIN) + ", rests long, ones long"
 
 
 class Pieces:
-    """The stretches of a batch one after another: their anchors, the number of the one after each (-1: none), and rows."""
+    """Stretches one after another: their anchors, the number of the one after each (-1: none), and rows."""
 
-    def __init__(self, column: pa.Array):
-        self.data, self.offsets = _flat(column)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
         self.first = chosen(self.data)
         row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
         self.left = self.offsets[1:][row] - np.arange(len(row))  # bytes from a place to the end of its stretch
@@ -291,7 +257,6 @@ class Pieces:
         inner = self.left[self.at] > SYMBOL
         self.following = np.full(len(self.at), -1)
         self.following[inner] = np.searchsorted(self.at, self.first[self.at[inner] + 1])
-        self.ends = self.at + np.minimum(self.left[self.at], SYMBOL)
 
     def number(self, k: np.ndarray) -> np.ndarray:
         """Numbers of anchors within their rows."""
@@ -307,133 +272,235 @@ class Pieces:
             mask[slot[head]] = np.bitwise_or.reduceat(U64(1) << (self.first[i] - i).astype(U64), head)
         return mask, np.maximum(self.at - SIDE, self.offsets[self.row]), self.at + np.minimum(self.left[self.at], LENGTH)
 
+    def symbols(self) -> np.ndarray:
+        """The SYMBOL bytes at each anchor, and how many there are, as keys in the order of bytes."""
+        padded = np.concatenate([self.data, np.zeros(SYMBOL, np.uint8)])
+        size = np.minimum(self.left[self.at], SYMBOL)
+        out = np.empty((len(self.at), SYMBOL + 1), np.uint8)
+        out[:, :SYMBOL] = np.where(np.arange(SYMBOL)[None] < size[:, None], padded[self.at[:, None] + np.arange(SYMBOL)[None]], 0)
+        out[:, SYMBOL] = size
+        return out.view(f"S{SYMBOL + 1}").ravel()
 
-def _lists(g: pa.Array, offsets: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    at = pa.array(offsets.astype(np.int32))
-    made = [pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, (_, kind) in zip(columns, _COLUMNS)]
-    return pa.RecordBatch.from_arrays([g, *made], ["g", *(c for c, _ in _COLUMNS)])
 
-
-def _table(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64, copy=False)) for x in columns], names)
-
-
-def _chains(batches):
-    """Chains of (g, bytes), whose symbols are fingerprints as yet."""
-    for batch in batches:
-        p = Pieces(batch.column(1))
-        symbol = Prints(p.data).of(p.at, p.ends).view(np.int64)
-        following = np.where(p.following >= 0, p.number(p.following), -1)
-        yield _lists(batch.column(0), p.begin, [p.at - p.offsets[p.row], symbol, following, _kinds(p.following), np.where(p.following >= 0, SYMBOL, ALL)])
+def _parcel(table: pa.Table) -> pa.Table:
+    """The stretches (p, g, bytes) of a parcel as one row."""
+    order = np.argsort(table.column("g").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    flat, at = _flat(table.column("bytes"))
+    return pa.table({"p": table.column("p").slice(0, 1), "g": pa.array([table.column("g").to_numpy().astype("<i8").tobytes()], pa.binary()), "length": pa.array([np.diff(at).astype("<i4").tobytes()], pa.binary()), "bytes": pa.array([flat.tobytes()], pa.binary())})
 
 
-def _symbols(batches):
-    """(symbol, bytes) of the chains' symbols, each once in a batch."""
+def _rows(batches):
     for batch in batches:
-        p = Pieces(batch.column(1))
-        symbol, one = np.unique(Prints(p.data).of(p.at, p.ends).view(np.int64), return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(symbol), _taken(p.data, p.at[one], p.ends[one])], ["symbol", "bytes"])
+        yield from batch.to_pylist()
 
 
-def _taken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Stretches of bytes as a binary column."""
-    size = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    taken = data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(taken))]).cast(pa.binary())
+def _opened(row: dict) -> tuple[np.ndarray, Pieces]:
+    size = np.frombuffer(row["length"], "<i4").astype(np.int64)
+    return np.frombuffer(row["g"], "<i8"), Pieces(np.frombuffer(row["bytes"], np.uint8), np.concatenate([[0], np.cumsum(size)]))
 
 
 class Chains:
-    """The chains of a batch one after another; numbers of next anchors count through all of them."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        size = get("next").value_lengths().to_numpy(zero_copy_only=False)
-        self.begin = np.concatenate([[0], np.cumsum(size)])
-        self.row = np.repeat(np.arange(len(size)), size)
-        for name in batch.schema.names[1:]:
-            setattr(self, name, get(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        self.g = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
-        self.next = np.where(self.next >= 0, self.next + self.begin[self.row], -1)
-        self.k = np.arange(len(self.row)) - self.begin[self.row]
+    """The chains of a parcel."""
+
+    def __init__(self, row: dict):
+        for c, kind in _CHAIN.items():
+            x = np.frombuffer(row[c], kind)
+            setattr(self, c, x if c == "kind" else x.astype(np.int64))
+        if "ranks" in row:
+            self.ranks = np.frombuffer(row["ranks"], "<i8")
 
     def ahead(self, k: np.ndarray) -> np.ndarray:
         return np.where(k >= 0, self.next[k], -1) if len(self.next) else k
 
+    def triples(self) -> tuple[np.ndarray, ...]:
+        """The sampled anchors, the numbers of the next two, and how many bytes their triples tell."""
+        k = np.flatnonzero(self.kind != 0)
+        one = self.next[k]
+        two = self.ahead(one)
+        told = np.where(two >= 0, _after(self.at, two, 0) - self.at[k] + _after(self.reach, two, 0), ALL)
+        return k, one, two, np.minimum(told, ALL)
+
 
 def _after(x: np.ndarray, where: np.ndarray, missing: int) -> np.ndarray:
     return np.where(where >= 0, x[where], missing) if len(x) else where
 
 
-def _told(c: Chains, k: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """The bytes from anchors on that their triples tell."""
-    return np.minimum(np.where(two >= 0, _after(c.at, two, 0) - c.at[k] + _after(c.reach, two, 0), ALL), ALL)
+def _kinds(following: np.ndarray) -> np.ndarray:
+    """Distances from the ends of chains modulo 3."""
+    out, ahead = [0] * len(following), following.tolist()
+    for i in range(len(ahead) - 1, -1, -1):
+        out[i] = (out[ahead[i]] + 1) % 3 if ahead[i] >= 0 else 1
+    return np.array(out, np.int64)
 
 
-def _triples(batches):
-    """(g, k, a, b, c, reach): the three symbols from each sampled anchor k on, and how many bytes they tell."""
-    for batch in batches:
-        c = Chains(batch)
-        k = np.flatnonzero(c.kind != 0)
-        one = c.next[k]
-        two = c.ahead(one)
-        yield _table([c.g[k], c.k[k], c.symbol[k], _after(c.symbol, one, 0), _after(c.symbol, two, 0), _told(c, k, two)], ["g", "k", "a", "b", "c", "reach"])
+def _chain_row(p: int, **arrays) -> pa.RecordBatch:
+    kind = arrays["kind"]
+    made = [pa.array([p], pa.int32())] + [pa.array([arrays[c].astype(dtype).tobytes()], pa.binary()) for c, dtype in _CHAIN.items()]
+    made += [pa.array([int((kind == k).sum())], pa.int64()) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(made, ["p", *_CHAIN, "rests", "ones"])
 
 
-def _attached(chains: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """Chains with the values of their anchors' rows (g, k, value), in the order of k."""
-    own = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", F.col(value).alias("v")))).alias("__v"))
-    return chains.join(own, "g", "left").withColumn("values", F.coalesce(F.transform("__v", lambda x: x["v"]), F.array().cast("array<bigint>"))).drop("__v")
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """Keys of whole numbers in the order of bytes."""
+    return np.stack(columns, 1).astype(">u8").view(f"S{8 * len(columns)}").ravel()
 
 
-def _reduced(batches):
-    """Chains of the sampled anchors alone, three steps being one, with names as symbols."""
-    for batch in batches:
-        c = Chains(batch)
-        k = np.flatnonzero(c.kind != 0)
-        two = c.ahead(c.next[k])
-        three = c.ahead(two)
-        ahead = np.where(three >= 0, np.searchsorted(k, three), -1)
-        begin = np.searchsorted(k, c.begin)
-        local = np.where(ahead >= 0, ahead - begin[c.row[k]], -1)
-        yield _lists(batch.column(0), begin, [c.at[k], c.values, local, _kinds(ahead), _told(c, k, two)])
+def _distinct(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, sums of their counts, and where each key went."""
+    own, where = np.unique(keys, return_inverse=True)
+    return own, np.stack([np.bincount(where, counts[:, j], len(own)).astype(np.int64) for j in range(counts.shape[1])], 1), where
 
 
-def _compared(batches):
-    """(g, k, side, rest, a, b, r, own): what a suffix is compared by with the other kind.
+def _asked(state: DataFrame, ask, width: int, counts: int) -> tuple[DataFrame, np.ndarray, int]:
+    """What parcels are told about their keys (p, told), what ranges begin with, and the number of keys that are open: with a
+    count over 1 in the first column and any in the second.  ``ask`` gives a parcel's keys and counts."""
+    parcels = state.count()
+    each = max(1, min(64, SAMPLE // max(1, parcels)))
 
-    Side 2: remaining suffixes and those of kind 2, by a symbol and the rank after it; side 1: remaining ones and those of
-    kind 1, by two symbols and the rank after them."""
-    for batch in batches:
-        c = Chains(batch)
-        rank = np.zeros(len(c.kind), np.int64)
-        rank[c.kind != 0] = c.values
-        out = []
-        for side in (1, 2):
-            k = np.flatnonzero((c.kind == 0) | (c.kind == side))
-            one = c.next[k]
-            b, r = (np.zeros(len(k), np.int64), _after(rank, one, 0)) if side == 2 else (_after(c.symbol, one, 0), _after(rank, c.ahead(one), 0))
-            out.append((c.g[k], c.k[k], np.full(len(k), side), c.kind[k] == 0, c.symbol[k], b, r, np.maximum(rank[k] - 1, 0)))
-        yield _table([np.concatenate(x) for x in zip(*out)], ["g", "k", "side", "rest", "a", "b", "r", "own"])
+    def look(batches):
+        for row in _rows(batches):
+            keys, _ = ask(row)
+            step = max(1, len(keys) // each)
+            yield pa.RecordBatch.from_arrays([pa.array([k.ljust(width, b"\0") for k in np.unique(keys)[::step][:each].tolist()], pa.binary())], ["key"])
+
+    some = sorted(bytes(r["key"]) for r in state.mapInArrow(look, "key binary").limit(SAMPLE).collect()) if parcels > 1 else []
+    borders = np.array(some[:: max(1, len(some) // max(1, parcels))][1:], f"S{width}")
+
+    def send(batches):
+        for row in _rows(batches):
+            own, sums, _ = _distinct(*ask(row))
+            ranges = np.searchsorted(borders, own, "right")
+            head = np.flatnonzero(np.diff(ranges, prepend=-1))
+            cut = [*head.tolist(), len(own)]
+            made = [(int(ranges[a]), row["p"], own[a:b].tobytes(), sums[a:b].astype("<i8").tobytes()) for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*made) if made else [()] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["r", "p", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x, f"S{width}") for x in table.column("keys").to_pylist()]
+        sums = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, counts) for x in table.column("counts").to_pylist()])
+        _, total, where = _distinct(np.concatenate(keys), sums)
+        before = (np.cumsum(total, 0) - total)[where]
+        cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        open_ = int(((total[:, 0] > 1) & (total[:, -1] > 0)).sum())
+        whole = total.sum(0).astype("<i8").tobytes()
+        n = table.num_rows
+        return pa.table({"p": table.column("p"), "r": table.column("r"), "before": pa.array([before[a:b].astype("<i8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), "total": pa.array([whole] * n, pa.binary()), "open": pa.array([open_] * n, pa.int64())})
+
+    replies = staged(state.mapInArrow(send, "r int, p int, keys binary, counts binary").groupBy("r").applyInArrow(answer, "p int, r int, before binary, total binary, open long"))
+    totals = {r["r"]: r for r in replies.groupBy("r").agg(F.first("total").alias("total"), F.first("open").alias("open")).collect()}
+    begins = np.zeros((len(borders) + 2, counts), np.int64)
+    for r, row in totals.items():
+        begins[r + 1] = np.frombuffer(row["total"], "<i8")
+    return replies.groupBy("p").agg(F.collect_list(F.struct("r", "before")).alias("told")), np.cumsum(begins, 0), sum(r["open"] for r in totals.values())
+
+
+def _before(row: dict, begins: np.ndarray, ask) -> np.ndarray:
+    """For each key of a parcel the counts of all smaller ones."""
+    told = [np.frombuffer(x["before"], "<i8").reshape(-1, begins.shape[1]) + begins[x["r"]] for x in sorted(row["told"], key=lambda x: x["r"])]
+    _, where = np.unique(ask(row)[0], return_inverse=True)
+    return np.concatenate(told)[where] if told else np.zeros((0, begins.shape[1]), np.int64)
+
+
+def _joined(state: DataFrame, more: DataFrame) -> DataFrame:
+    return state.join(more, "p", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<r: int, before: binary>>")))
+
+
+def _ask_symbols(row: dict):
+    keys = _opened(row)[1].symbols()
+    return keys, np.ones((len(keys), 1), np.int64)
+
+
+def _ask_triples(row: dict):
+    c = Chains(row)
+    k, one, two, told = c.triples()
+    return _key(c.symbol[k], _after(c.symbol, one, 0), _after(c.symbol, two, 0)), np.stack([np.ones(len(k), np.int64), (told < LENGTH).astype(np.int64)], 1)
+
+
+def _sides(c: Chains):
+    """(anchors, side) and keys by which a remaining suffix is compared with either kind of sampled ones: with those of kind 2
+    by a symbol and the rank after it, with those of kind 1 by two symbols and the rank after them."""
+    rank = np.zeros(len(c.kind), np.int64)
+    rank[c.kind != 0] = c.ranks
+    for side in (1, 2):
+        k = np.flatnonzero((c.kind == 0) | (c.kind == side))
+        one = c.next[k]
+        b, r = (np.zeros(len(k), np.int64), _after(rank, one, 0)) if side == 2 else (_after(c.symbol, one, 0), _after(rank, c.ahead(one), 0))
+        yield k, side, _key(np.full(len(k), side), c.symbol[k], b, r)
+
+
+def _ask_sides(row: dict):
+    c = Chains(row)
+    k, _, keys = zip(*_sides(c))
+    rest = (c.kind[np.concatenate(k)] == 0).astype(np.int64)
+    return np.concatenate(keys), np.stack([rest, 1 - rest], 1)
+
+
+def _ranks(p: int, ranks: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([ranks.astype("<i8").tobytes()], pa.binary())], ["p", "ranks"])
 
 
 def ranks(chains: DataFrame) -> DataFrame:
-    """(g, k, rank): 1 and the number of suffixes of ``chains`` that are smaller; of suffixes that share their first LENGTH
-    bytes, either may count as smaller or none."""
-    triples = staged(chains.mapInArrow(_triples, "g long, k long, a long, b long, c long, reach long"))
-    names = staged(counted_before(triples.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.max("reach").alias("reach")), ["a", "b", "c"], ["n"]))
-    named = triples.join(names.select("a", "b", "c", (F.col("before_n") + 1).alias("rank")), ["a", "b", "c"]).select("g", "k", "rank")
-    if not names.where((F.col("n") > 1) & (F.col("reach") < LENGTH)).isEmpty():
-        named = ranks(staged(_attached(chains, named, "rank").drop("symbol").mapInArrow(_reduced, CHAINS)))
-    rows = staged(_attached(chains, named, "rank").mapInArrow(_compared, "g long, k long, side long, rest long, a long, b long, r long, own long"))
-    keys = rows.groupBy("side", "a", "b", "r").agg(F.sum("rest").alias("rest"), F.sum(1 - F.col("rest")).alias("kind"))
-    before = counted_before(keys, ["side", "a", "b", "r"], ["rest", "kind"])
-    first = {c: (rows.where("side = 1").agg(F.sum(x)).first()[0] or 0) for c, x in (("rest", F.col("rest")), ("kind", 1 - F.col("rest")))}
-    # side 2 comes after side 1, whose rows are no part of its counts
-    less = lambda c: F.col(f"before_{c}") - F.when(F.col("side") == 2, first[c]).otherwise(0)
-    before = before.select("side", "a", "b", "r", less("rest").alias("rests"), less("kind").alias("kinds"))
-    share = F.when(F.col("rest") == 0, F.col("rests")).when(F.col("side") == 2, F.col("rests") + F.col("kinds")).otherwise(F.col("kinds"))
-    return rows.join(before, ["side", "a", "b", "r"]).groupBy("g", "k").agg((F.sum(share) + F.max("own") + 1).alias("rank"))
+    """(p, ranks) of the chains' suffixes: 1 and the number of smaller ones; of suffixes that share their first LENGTH bytes,
+    either may count as smaller or none."""
+    told, begins, open_ = _asked(chains, _ask_triples, 24, 2)
+    named = _joined(chains, told)
+
+    def names(batches):
+        for row in _rows(batches):
+            yield _ranks(row["p"], _before(row, begins, _ask_triples)[:, 0] + 1)
+
+    def reduced(batches):
+        """The sampled anchors alone, three steps being one, with names as symbols."""
+        for row in _rows(batches):
+            c = Chains(row)
+            k, _, two, reach = c.triples()
+            three = c.ahead(two)
+            ahead = np.where(three >= 0, np.searchsorted(k, three), -1)
+            size = np.diff(np.searchsorted(k, np.concatenate([[0], np.cumsum(c.size)])))
+            yield _chain_row(row["p"], g=c.g, size=size, at=c.at[k], symbol=_before(row, begins, _ask_triples)[:, 0] + 1, next=ahead, kind=_kinds(ahead), reach=reach)
+
+    # equal names that tell less than LENGTH bytes are told apart by sorting the names
+    sampled = ranks(staged(named.mapInArrow(reduced, CHAINS))) if open_ else named.mapInArrow(names, "p int, ranks binary")
+    state = staged(chains.join(sampled, "p"))
+    sums = state.agg(F.sum("rests").alias("rests"), F.sum("ones").alias("ones")).first()
+    side_two = np.array([sums["rests"] or 0, sums["ones"] or 0])  # the counts of side 1, which all come before side 2
+    told, starts, _ = _asked(state, _ask_sides, 32, 2)
+
+    def merged(batches):
+        for row in _rows(batches):
+            c = Chains(row)
+            before = _before(row, starts, _ask_sides)
+            rank, done = np.ones(len(c.kind), np.int64), 0
+            rank[c.kind != 0] = c.ranks
+            for k, side, keys in _sides(c):
+                rests, kinds = (before[done : done + len(keys)] - (side_two if side == 2 else 0)).T
+                done += len(keys)
+                rest = c.kind[k] == 0
+                rank[k] += np.where(rest, kinds + (rests if side == 2 else 0), rests)
+            yield _ranks(row["p"], rank)
+
+    return _joined(state, told).mapInArrow(merged, "p int, ranks binary")
+
+
+def _parcel_of(pieces: DataFrame) -> Column:
+    """The parcel of each stretch (g, bytes)."""
+    size = pieces.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    return F.pmod(F.xxhash64("g"), F.lit(max(1, size // (WINDOW // 2) // NODES))).cast("int")
+
+
+def sorted_suffixes(pieces: DataFrame) -> DataFrame:
+    """Parcels (p, g, length, bytes, ranks) of the stretches (g, bytes), with the rank of the suffix at each anchor."""
+    held = staged(pieces.withColumn("p", _parcel_of(pieces)).groupBy("p").applyInArrow(_parcel, "p int, g binary, length binary, bytes binary"))
+    told, begins, _ = _asked(held, _ask_symbols, SYMBOL + 1, 1)
+
+    def chained(batches):
+        for row in _rows(batches):
+            g, p = _opened(row)
+            symbol = _before(row, begins, _ask_symbols)[:, 0] + 1
+            yield _chain_row(row["p"], g=g, size=np.diff(p.begin), at=p.at - p.offsets[p.row], symbol=symbol, next=p.following, kind=_kinds(p.following), reach=np.where(p.following >= 0, SYMBOL, ALL))
+
+    return staged(held.join(ranks(staged(_joined(held, told).mapInArrow(chained, CHAINS))), "p"))
 
 
 # ---- all suffixes -----------------------------------------------------------------------------------------------
@@ -442,28 +509,44 @@ def ranks(chains: DataFrame) -> DataFrame:
 SIDE = WINDOW - 1
 
 
+def _taken(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Stretches of bytes as a binary column."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    taken = data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(taken))]).cast(pa.binary())
+
+
+def _places(g: np.ndarray, p: Pieces) -> tuple[np.ndarray, ...]:
+    """Of the anchors that some string of LENGTH bytes has first: numbers, fingerprints of all that these reach over, bits and
+    the range of bytes."""
+    mask, low, high = p.around()
+    k = np.flatnonzero(mask)
+    v = mix(Prints(p.data).of(low[k], high[k]) ^ (p.at - low)[k].astype(U64) * U64(_ODD))
+    return k, v.view(np.int64), mask[k], low[k], high[k]
+
+
 def _placed(batches):
-    """(v, g, k, rank): anchors that some string of LENGTH bytes has first, and the fingerprint of all that these reach over."""
-    for batch in batches:
-        p = Pieces(batch.column(1))
-        rank = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-        mask, low, high = p.around()
-        k = np.flatnonzero(mask)
-        v = mix(Prints(p.data).of(low[k], high[k]) ^ (p.at - low)[k].astype(U64) * U64(_ODD))
-        yield _table([v.view(np.int64), batch.column(0).to_numpy(zero_copy_only=False)[p.row[k]], p.number(k), rank[k]], ["v", "g", "k", "rank"])
+    """(v, p, k, n): where places with equal bytes all around are, each once in a parcel, and how often they're there."""
+    for row in _rows(batches):
+        g, p = _opened(row)
+        k, v, *_ = _places(g, p)
+        times = {x["g"]: x["n"] for x in row["t"]}
+        n = np.array([times[x] for x in g.tolist()], np.int64)[p.row[k]]
+        own, first, where = np.unique(v, return_index=True, return_inverse=True)
+        total = np.bincount(where, n, len(own)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row["p"], np.int32)), pa.array(k[first].astype(np.int32)), pa.array(total)], ["v", "p", "k", "n"])
 
 
 def _contexts(batches):
-    """(v, rank, n, mask, left, around) of the anchors (v, k, rank, n) asked for in each stretch."""
-    for batch in batches:
-        p = Pieces(batch.column(0))
+    """(v, rank, n, mask, left, around) of the anchors (v, k, n) that parcels are asked for."""
+    for row in _rows(batches):
+        g, p = _opened(row)
         mask, low, high = p.around()
-        asked = batch.column(1)
-        rows = asked.flatten()
-        field = lambda c: rows.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-        k = field("k") + np.repeat(p.begin[:-1], asked.value_lengths().to_numpy(zero_copy_only=False))
-        numbers = [pa.array(x.astype(np.int64, copy=False)) for x in (field("v"), field("rank"), field("n"), mask[k].view(np.int64), (p.at - low)[k])]
-        yield pa.RecordBatch.from_arrays([*numbers, _taken(p.data, low[k], high[k])], ["v", "rank", "n", "mask", "left", "around"])
+        asked = row["asked"]
+        k = np.array([x["k"] for x in asked], np.int64)
+        numbers = [np.array([x["v"] for x in asked], np.int64), np.frombuffer(row["ranks"], "<i8")[k], np.array([x["n"] for x in asked], np.int64), mask[k].view(np.int64), (p.at - low)[k]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _taken(p.data, low[k], high[k])], ["v", "rank", "n", "mask", "left", "around"])
 
 
 def _adjacent(batches):
@@ -536,22 +619,22 @@ def _adjacent(batches):
 
 
 def _intervals(batches):
-    """(g, spans): the bytes of stretches that are covered, from the bits of their anchors."""
-    for batch in batches:
-        p = Pieces(batch.column(1))
-        found = batch.column(2)
-        size = found.value_lengths().to_numpy(zero_copy_only=False)
-        rows = found.flatten()
-        row = np.repeat(np.arange(len(size)), size)
-        at = p.at[rows.field("k").to_numpy(zero_copy_only=False) + p.begin[row]] - p.offsets[row]
-        bits = rows.field("bits").to_numpy(zero_copy_only=False).view(U64)
-        hit = (bits[:, None] >> np.arange(WINDOW, dtype=U64)[None]) & U64(1) == 1
-        which, d = np.nonzero(hit)
-        starts, of = at[which] - d, row[which]
+    """(g, spans): the bytes of stretches that are covered, from the bits of their places."""
+    for row in _rows(batches):
+        g, p = _opened(row)
+        k, v, *_ = _places(g, p)
+        known = np.array([x["v"] for x in row["hits"]], np.int64)
+        order = np.argsort(known)
+        bits = np.array([x["bits"] for x in row["hits"]], np.int64).view(U64)[order]
+        slot = np.minimum(np.searchsorted(known[order], v), len(known) - 1)
+        told = np.where(known[order][slot] == v, bits[slot], U64(0))
+        which, d = np.nonzero((told[:, None] >> np.arange(WINDOW, dtype=U64)[None]) & U64(1) == 1)
+        of = p.row[k[which]]
+        starts = p.at[k[which]] - d - p.offsets[of]
         order = np.lexsort((starts, of))
-        starts, cut = starts[order], np.searchsorted(of[order], np.arange(len(size) + 1))
+        starts, cut = starts[order], np.searchsorted(of[order], np.arange(len(g) + 1))
         spans = [_merged(starts[a:b], LENGTH) for a, b in zip(cut.tolist(), cut[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["g", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["g", "spans"])
 
 
 def _merged(starts: np.ndarray, length: int) -> list[list[int]]:
@@ -567,26 +650,22 @@ def covered(texts: DataFrame) -> DataFrame:
     as pieces [first, end] that may meet."""
     found = stretches(texts)
     pieces = staged(found.groupBy("g").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n")))
-    own = pieces.select("g", "bytes")
-    symbols = own.mapInArrow(_symbols, "symbol long, bytes binary").groupBy("symbol").agg(F.min("bytes").alias("bytes"))
-    numbers = counted_before(symbols.withColumn("one", F.lit(1)), ["bytes"], ["one"]).select("symbol", (F.col("before_one") + 1).alias("rank"))
-    chains = staged(own.mapInArrow(_chains, CHAINS))
-    at_anchor = chains.select("g", F.posexplode("symbol").alias("k", "symbol")).join(numbers, "symbol").select("g", "k", "rank")
-    chains = staged(_attached(chains, at_anchor, "rank").withColumn("symbol", F.col("values")).drop("values").select("g", "at", "symbol", "next", "kind", "reach"))
-    ranked = staged(_attached(own, ranks(chains), "rank").select("g", "bytes", "values"))
-    placed = staged(ranked.mapInArrow(_placed, "v long, g long, k long, rank long"))
+    parcels = sorted_suffixes(pieces.select("g", "bytes"))
+    # how often each stretch is there, beside its parcel
+    times = pieces.groupBy(_parcel_of(pieces).alias("p")).agg(F.collect_list(F.struct("g", "n")).alias("t"))
+    placed = staged(parcels.join(times, "p").mapInArrow(_placed, "v long, p int, k int, n long"))
     # places with equal bytes all around are one, counted
-    places = placed.join(pieces.select("g", "n"), "g").groupBy("v").agg(F.min(F.struct("g", "k", "rank")).alias("p"), F.sum("n").alias("n"))
-    asked = places.select("v", "p.g", "p.k", "p.rank", "n").groupBy("g").agg(F.collect_list(F.struct("v", "k", "rank", "n")).alias("asked"))
-    contexts = staged(own.join(asked, "g").select("bytes", "asked").mapInArrow(_contexts, "v long, rank long, n long, mask long, left long, around binary"))
+    places = placed.groupBy("v").agg(F.min(F.struct("p", "k")).alias("at"), F.sum("n").alias("n"))
+    asked = places.select("v", "at.p", "at.k", "n").groupBy("p").agg(F.collect_list(F.struct("v", "k", "n")).alias("asked"))
+    contexts = staged(parcels.join(asked, "p").mapInArrow(_contexts, "v long, rank long, n long, mask long, left long, around binary"))
     ranges = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     judged = staged(contexts.repartitionByRange(ranges, "rank", "v").sortWithinPartitions("rank", "v").mapInArrow(_adjacent, "v long, bits long, w long, bit long"))
     split = judged.where("bit >= 0")
     again = split.groupBy("w").agg(F.min(F.struct("v", "bit")).alias("a"), F.max(F.struct("v", "bit")).alias("b")).where("a <> b").select("w")
     more = split.join(again, "w", "left_semi").select("v", F.expr("shiftleft(1L, int(bit))").alias("bits"))
     bits = judged.where("bit < 0").select("v", "bits").unionByName(more).where("bits <> 0").groupBy("v").agg(F.bit_or("bits").alias("bits"))
-    hits = placed.join(bits, "v").groupBy("g").agg(F.collect_list(F.struct("k", "bits")).alias("hits"))
-    spans = own.join(hits, "g").select("g", "bytes", "hits").mapInArrow(_intervals, "g long, spans array<array<int>>")
+    hits = placed.select("v", "p").join(bits, "v").groupBy("p").agg(F.collect_list(F.struct("v", "bits")).alias("hits"))
+    spans = parcels.join(hits, "p").mapInArrow(_intervals, "g long, spans array<array<int>>").where(F.size("spans") > 0)
     shifted = F.transform("spans", lambda s: F.struct((s[0] + F.col("start")).alias("first"), (s[1] + F.col("start")).alias("end")))
     return found.select("id", "start", "g").join(spans, "g").select("id", shifted.alias("spans")).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 

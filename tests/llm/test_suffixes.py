@@ -77,6 +77,7 @@ def test_small_tasks(spark, monkeypatch):
     spark.conf.set("spark.sql.shuffle.partitions", "23")
     monkeypatch.setattr(suffixes, "PACKET", 40)
     monkeypatch.setattr(suffixes, "PLACES", 512)
+    monkeypatch.setattr(suffixes, "NODES", 30)
     try:
         check(spark, texts, parts=11)
     finally:
@@ -84,18 +85,19 @@ def test_small_tasks(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("letters", ["ab", "abcdefghijklmnop"])
-def test_ranks_are_those_of_sorted_suffixes(spark, letters):
+def test_ranks_are_those_of_sorted_suffixes(spark, monkeypatch, letters):
     rng = np.random.default_rng(13)
     same = prose(rng, 700, letters)
     raw = [(same[:500] + prose(rng, 300, letters)).encode(), (prose(rng, 50, letters) + same).encode(), same.encode(), b"a" * 400, b"a" * 390 + b"b" * 60, prose(rng, 1000, letters).encode()]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "g long, bytes binary").repartition(2)
-    symbols = df.mapInArrow(suffixes._symbols, "symbol long, bytes binary").dropDuplicates(["symbol"])
-    number = {r.symbol: i + 1 for i, r in enumerate(sorted(symbols.collect(), key=lambda r: bytes(r.bytes)))}
-    chains = df.mapInArrow(suffixes._chains, suffixes.CHAINS).collect()
-    numbered = spark.createDataFrame([(r.g, r.at, [number[x] for x in r.symbol], r.next, r.kind, r.reach) for r in chains], suffixes.CHAINS)
-    at = {r.g: r.at for r in chains}
-    got = sorted((r["rank"], raw[r.g][at[r.g][r.k] :][:N]) for r in suffixes.ranks(numbered).collect())
-    assert len(got) == sum(map(len, at.values()))
+    monkeypatch.setattr(suffixes, "NODES", 20)
+    got = []
+    for row in suffixes.sorted_suffixes(df).collect():
+        g, p = suffixes._opened(row.asDict())
+        at = (p.at - p.offsets[p.row]).tolist()
+        got += [(int(r), raw[int(g[i])][a:][:N]) for r, i, a in zip(np.frombuffer(row["ranks"], "<i8"), p.row, at)]
+        assert len(at) == len(row["ranks"]) // 8
+    got.sort()
     assert [x for _, x in got] == sorted(x for _, x in got)
     # equal ranks are equal strings, as far as they go
     assert all(a[1] == b[1] for a, b in zip(got, got[1:]) if a[0] == b[0])
