@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from atomweave.functions import paths, symbols
-from atomweave.operators import scan
+from atomweave.operators import joins, scan
 from atomweave.plans import callgraph, specs, verifylog
 from atomweave.plans.catalogue import big, query
 
@@ -61,11 +61,37 @@ def atoms(t):
     return own.select("code_name", "display_name", "code_module", "code_path", "lines_start", F.size("dependencies").cast("long").alias("n_deps"), F.array_join("dependencies", ",").alias("deps"))
 
 
-@query(f"""WITH {_GRAPH}, b AS (SELECT *, 'probe:' || replace(regexp_replace(regexp_replace(symbol, '^rust-analyzer cargo ', ''), '#from..[.]$', '<&S' || arg || '>#from()'), ' ', '/') AS base FROM g),
-    f AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '@' || (line + 1) ELSE base END AS code_name FROM b)
-    SELECT code_name, count(*) AS n FROM f GROUP BY 1 HAVING count(*) > 1""")
+@query("""SELECT index, code_name, count(*) AS n, string_agg(display_name || ' ' || code_path || ':' || lines_start, ', ' ORDER BY display_name, code_path, lines_start) AS occurrences
+    FROM (SELECT 'i' || p_size % 3 AS index, 'probe:c/' || p_brand || '/' || p_size || '#new()' AS code_name, p_type AS display_name, 'src/' || p_name || '.rs' AS code_path, p_partkey::BIGINT AS lines_start FROM part) GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_names(t):
-    return callgraph.duplicate_names(callgraph.atoms(_symbols(t), _occurrences(t))).select("code_name", "n")
+    """Names that several functions have, with where these are: an export fails on them."""
+    size = F.col("p_size").cast("string")
+    own = t("part").select(
+        F.concat(F.lit("i"), (F.col("p_size") % 3).cast("string")).alias("index"), F.concat(F.lit("probe:c/"), "p_brand", F.lit("/"), size, F.lit("#new()")).alias("code_name"), F.col("p_type").alias("display_name"), F.concat(F.lit("src/"), "p_name", F.lit(".rs")).alias("code_path"), big("p_partkey", "lines_start"),
+    )
+    where = F.array_join(F.transform("occurrences", lambda x: F.concat(x["display_name"], F.lit(" "), x["code_path"], F.lit(":"), x["lines_start"].cast("string"))), ", ")
+    return callgraph.duplicate_names(own).select("index", "code_name", "n", where.alias("occurrences"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, 's' || l_partkey % 997 AS symbol, CASE l_partkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['Ty' || l_partkey % 7] WHEN 2 THEN ['Ty' || l_partkey % 7, 'Cell' || l_suppkey % 3] ELSE ['yp' || l_partkey % 9, 'OfCell' || l_partkey % 3] END AS hints FROM lineitem),
+    i AS (SELECT p_partkey, 's' || p_partkey % 997 AS symbol, CASE p_partkey % 3 WHEN 0 THEN ['Ty' || p_size % 7] WHEN 1 THEN ['Cell' || p_partkey % 5, 'Typ' || p_size % 9, 'Ty1'] ELSE [] END AS ctx FROM part),
+    d AS (SELECT DISTINCT symbol, hints FROM c),
+    s AS (SELECT symbol, count(*) AS n, flatten(list(ctx)) AS held FROM i GROUP BY 1),
+    t AS (SELECT d.*, n, CASE WHEN n > 1 THEN list_filter(hints, lambda h: list_contains(held, h) AND len(list_filter(held, lambda x: x = h)) < n) ELSE [] END AS telling FROM d JOIN s USING (symbol)),
+    m AS (SELECT t.symbol, t.hints, p_partkey, CASE WHEN n = 1 THEN FALSE WHEN len(telling) > 0 THEN len(list_intersect(ctx, telling)) > 0 ELSE len(list_filter(hints, lambda h: len(list_filter(ctx, lambda x: contains(x, h) OR contains(h, x))) > 0)) > 0 END AS ok FROM t JOIN i USING (symbol)),
+    k AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY symbol, hints) AS n_ok FROM m)
+    SELECT l_orderkey, l_linenumber, p_partkey AS target FROM c JOIN k USING (symbol, hints) WHERE ok OR n_ok <> 1""")
+def resolved_calls(t):
+    """Calls of several implementations by the types near them: told apart by a type that some have, else by a part of its name."""
+    word = lambda a, c, n: F.concat(F.lit(a), (F.col(c) % n).cast("string"))
+    kind = F.col("l_partkey") % 4
+    none = F.array().cast("array<string>")
+    hints = F.when(kind == 0, none).when(kind == 1, F.array(word("Ty", "l_partkey", 7))).when(kind == 2, F.array(word("Ty", "l_partkey", 7), word("Cell", "l_suppkey", 3))).otherwise(F.array(word("yp", "l_partkey", 9), word("OfCell", "l_partkey", 3)))
+    calls = t("lineitem").select(F.lit("i").alias("index"), word("s", "l_partkey", 997).alias("symbol"), hints.alias("hints"), "l_orderkey", "l_linenumber")
+    sort = F.col("p_partkey") % 3
+    near = F.when(sort == 0, F.array(word("Ty", "p_size", 7))).when(sort == 1, F.array(word("Cell", "p_partkey", 5), word("Typ", "p_size", 9), F.lit("Ty1"))).otherwise(none)
+    own = t("part").select(F.lit("i").alias("index"), word("s", "p_partkey", 997).alias("symbol"), F.col("p_partkey").alias("target"), near.alias("context"), F.col("p_partkey").alias("impl"))
+    return callgraph.single_out(calls, own).select("l_orderkey", "l_linenumber", "target")
 
 
 @query(r"""SELECT p_partkey, s_suppkey, b || '::' || y AS display, 'probe:c' || s_suppkey % 10 || '/1.0/' || m || '/' || b || '#Tr<&' || b || '>#' || y || '()' AS code_name, m AS module,
@@ -206,6 +232,32 @@ def functions_of_atoms(t):
     return verifylog.match_atoms(f, a).select("o_orderkey", "code_name")
 
 
+@query("""WITH f AS (SELECT o_orderkey, 'p' || o_custkey % 3 || '/src/d' || o_custkey || '/mod.rs' AS file, o_orderkey % 100000 AS s, o_orderkey % 100000 + (10 ** (o_orderkey % 7))::BIGINT - 1 AS e FROM orders),
+    a AS (SELECT 'k' || c_custkey AS code_name, 'src/d' || c_custkey || '/mod.rs' AS path, c_custkey * 7919 % 100000 AS line FROM customer),
+    m AS (SELECT o_orderkey, code_name, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(s - line), code_name) AS rn FROM f JOIN a ON ends_with(file, path) WHERE abs(s - line) <= 5 OR line BETWEEN s AND e)
+    SELECT o_orderkey, code_name FROM m WHERE rn = 1""")
+def functions_of_hot_names(t):
+    """Functions that all are called new and lie in files called mod.rs, of one to a million lines."""
+    c, start = F.col("o_custkey"), F.col("o_orderkey") % 100_000
+    file = F.concat(F.lit("p"), (c % 3).cast("string"), F.lit("/src/d"), c.cast("string"), F.lit("/mod.rs"))
+    last = start + F.pow(F.lit(10.0), F.col("o_orderkey") % 7).cast("long") - 1
+    f = t("orders").select("o_orderkey", F.lit("new").alias("name"), file.alias("file"), start.alias("lines_start"), last.alias("lines_end"))
+    k = F.col("c_custkey")
+    a = t("customer").select(F.lit("T::new").alias("display_name"), F.concat(F.lit("k"), k.cast("string")).alias("code_name"), F.concat(F.lit("src/d"), k.cast("string"), F.lit("/mod.rs")).alias("code_path"), (k * 7919 % 100_000).alias("lines_start"))
+    return verifylog.match_atoms(f, a).select("o_orderkey", "code_name")
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey * 7919 % 1000000 AS a, o_orderkey * 7919 % 1000000 + (10 ** (o_orderkey % 7))::BIGINT - 1 AS b FROM orders),
+    m AS (SELECT c_custkey, o_orderkey, b - a AS width, row_number() OVER (PARTITION BY c_custkey ORDER BY b - a, a, o_orderkey) AS rn FROM customer JOIN s ON c_custkey * 331 % 1000000 BETWEEN a AND b)
+    SELECT c_custkey, o_orderkey, width FROM m WHERE rn = 1""")
+def innermost_of_all_sizes(t):
+    """The innermost of the spans of one file around each place, which are one to a million lines long."""
+    a = F.col("o_orderkey") * 7919 % 1_000_000
+    s = t("orders").select(F.lit("f").alias("file"), "o_orderkey", a.alias("a"), (a + F.pow(F.lit(10.0), F.col("o_orderkey") % 7).cast("long") - 1).alias("b"))
+    p = t("customer").select(F.lit("f").alias("file"), "c_custkey", (F.col("c_custkey") * 331 % 1_000_000).alias("line"))
+    return joins.innermost(p, s, ["file"], "line", "a", "b").select("c_custkey", "o_orderkey", (F.col("b") - F.col("a")).alias("width"))
+
+
 @query("""WITH s AS (SELECT DISTINCT string_split(text, ' ')[1] AS spec FROM benchmark WHERE text <> '') SELECT conv_id, turn, spec FROM conversations JOIN s ON contains(text, spec) WHERE spec <> ''""")
 def spec_references(t):
     """Specs whose name stands in a clause."""
