@@ -104,27 +104,36 @@ def resolve(calls: DataFrame, call: Sequence[str], accepted: Column) -> DataFram
 def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle_key: str, needle: str) -> DataFrame:
     """(key, needle_key) of texts that hold a needle literally; empty needles are in none.
 
-    Texts and needles meet by a seed: the longest word inside a needle, which the text then has as a word; of needles
-    without one, the first letters of their longest part, which stand inside some word of the text.  Whole texts are
-    looked at only where a seed is met."""
+    Texts and needles meet by a seed: of the words inside a needle, which the text then has as words, the one that fewest
+    texts have; of needles without one, the rarest run of letters of a part, which stands inside some word of the text.
+    Whole texts are looked at only where a seed is met, and a needle with a seed that no text has nowhere."""
     space = r"[ \t\n\x0B\f\r]+"
-    parts = F.split(needle, space)
-    longest = lambda a: F.aggregate(a, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
-    inner, any_ = longest(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))), longest(parts)
-    seeded = needles.where(F.length(needle) > 0).select(F.col(needle_key), F.col(needle).alias("__needle"), F.when(inner != "", inner).alias("word"), F.substring(any_, 1, 3).alias("gram"))
-    words = texts.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.split(text, space))).alias("word"))
-    hits = words.join(seeded.where("word IS NOT NULL").select("word", needle_key).distinct(), "word").select("__key", needle_key)
-    short = seeded.where("word IS NULL").select("gram", needle_key).distinct()
+    parts = F.split("__needle", space)
+    longest = F.aggregate(parts, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
+    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
+    seeded = needles.where(F.length(needle) > 0).select(F.col(needle_key), F.col(needle).alias("__needle")).withColumns({"__inner": inner, "__long": longest})
+    words = texts.select(F.col(key).alias("__key"), F.explode(F.array_distinct(F.split(text, space))).alias("seed"))
+    whole = seeded.where(F.size("__inner") > 0).select(needle_key, F.explode(F.array_distinct("__inner")).alias("seed"))
+    hits = _by_rarest(words, whole, needle_key)
+    short = seeded.where(F.size("__inner") == 0).select(needle_key, F.explode(_runs(F.col("__long"), F.least(F.length("__long"), F.lit(3)))).alias("seed")).distinct()
     if not short.isEmpty():
-        grams = words.select("__key", F.explode(_grams(F.col("word"))).alias("gram"))
-        hits = hits.unionByName(grams.join(short, "gram").select("__key", needle_key))
+        hits = hits.unionByName(_by_rarest(words.select("__key", F.explode(_grams(F.col("seed"))).alias("seed")), short, needle_key))
     met = texts.select(F.col(key).alias("__own"), F.col(text).alias("__text")).join(hits.distinct(), F.col("__own").eqNullSafe(F.col("__key")))
     return met.join(seeded.select(F.col(needle_key).alias("__named"), "__needle"), F.col(needle_key).eqNullSafe(F.col("__named"))).where(F.contains("__text", F.col("__needle"))).select(F.col("__own").alias(key), needle_key)
 
 
+def _by_rarest(held: DataFrame, seeds: DataFrame, needle_key: str) -> DataFrame:
+    """(__key, needle_key): texts (__key, seed) that have the seed of a needle (needle_key, seed) which fewest have."""
+    often = held.join(seeds.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("__n"))
+    best = seeds.join(often, "seed").groupBy(needle_key).agg(F.min(F.struct("__n", "seed"))["seed"].alias("seed"))
+    return held.join(best, "seed").select("__key", needle_key)
+
+
+def _runs(word: Column, n: Column) -> Column:
+    """The runs of ``n`` letters of a word."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, n)))
+
+
 def _grams(word: Column) -> Column:
     """The distinct runs of up to three letters of a word, the empty one included."""
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(n)))
-
-    return F.array_distinct(F.concat(F.array(F.lit("")), runs(1), runs(2), runs(3)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[_runs(word, F.lit(n)) for n in (1, 2, 3)]))

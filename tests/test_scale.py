@@ -124,3 +124,38 @@ def test_haloed_windows_equal_whole_ones(spark, size):
         assert rows(a, "log", "pos", "x") == rows(b, "log", "pos", "x")
     a, b = (grouping.blocks(lines, ["log"], ["pos"], F.coalesce("flag", F.lit(False)), size=s) for s in (None, size))
     assert rows(a, "log", "pos", "block") == rows(b, "log", "pos", "block")
+
+
+def test_chains_are_reached_in_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 takes 40 rounds at most; cycles, hubs and side branches are right."""
+    from atomweave.operators import closure
+
+    jobs = [0]
+    plain = closure.cut
+    monkeypatch.setattr(closure, "cut", lambda df: (jobs.__setitem__(0, jobs[0] + 1), plain(df))[1])
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert closure.reachable(spark.createDataFrame([(17,)], "id long"), chain).count() == n + 1 - 17
+    assert jobs[0] <= 45  # rounds, and a table now and then
+    rng = random.Random(2)
+    edges = [(i, (i + 1) % 60) for i in range(60)] + [(100 + i, 101 + i) for i in range(80)] + [(500, j) for j in range(100, 140)] + [(59, 100), (150, 500), (170, 170), (None, 3), (4, None)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(70)]
+    for seeds in ([5], [100, 230], [999, None], []):
+        want, todo = set(), [s for s in seeds if s is not None]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want.add(x)
+                todo += [d for s, d in edges if s == x and d is not None]
+        got = closure.reachable(spark.createDataFrame([(s,) for s in seeds], "id long"), spark.createDataFrame(edges, "src long, dst long"))
+        assert sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def test_needles_are_keyed_by_their_rarest_word(spark):
+    """All needles share their longest word; what is compared stays near what matches."""
+    texts = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("a verylongcommonword x"), (F.col("id") % 500).cast("string"), F.lit(" tail z")).alias("t"))
+    needles = spark.range(500).select(F.col("id").alias("n"), F.concat(F.lit("verylongcommonword x"), F.col("id").cast("string"), F.lit(" tail")).alias("s"))
+    words = texts.select(F.col("k").alias("__key"), F.explode(F.split("t", " ")).alias("seed"))
+    seeds = needles.select("n", F.explode(F.split("s", " ")).alias("seed"))
+    assert joins._by_rarest(words, seeds, "n").count() == 3000
+    found = joins.contained(texts, "k", "t", needles, "n", "s")
+    assert found.count() == 3000 and found.where("k % 500 <> n").isEmpty()
