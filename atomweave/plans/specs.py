@@ -122,11 +122,13 @@ def browser_counts(functions: DataFrame, spec_rows: DataFrame, verified_rows: Da
 
 
 def tracked(functions: DataFrame, base_url: str = "", prefix: str = "") -> DataFrame:
-    """(function, module, link, has_spec, has_proof) of specified executable functions."""
+    """(function, module, link, has_spec, has_proof) of specified executable functions, those of one name as they stand in
+    their files; what isn't so is left empty."""
     own = catalog(functions).where("mode = 'exec' AND specified AND NOT is_external_body")
     link = F.concat(F.lit(base_url), F.lit(f"{prefix}/" if prefix else ""), "file", F.lit("#L"), F.col("lines_start").cast("string"))
-    yes = lambda c: F.when(c, "yes").otherwise("no")
-    return own.select(F.col("display_name").alias("function"), F.col("module_path").alias("module"), link.alias("link"), yes(F.col("has_requires") | F.col("has_ensures")).alias("has_spec"), yes(is_proved()).alias("has_proof")).orderBy("function", "link")
+    yes = lambda c: F.when(c, "yes").otherwise("")
+    rows = own.select(F.col("display_name").alias("function"), F.col("module_path").alias("module"), link.alias("link"), yes(F.col("has_requires") | F.col("has_ensures")).alias("has_spec"), yes(is_proved()).alias("has_proof"), "file", "lines_start")
+    return rows.orderBy("function", F.split("file", "/"), "lines_start").drop("file", "lines_start")
 
 
 def completion(rows: DataFrame) -> DataFrame:

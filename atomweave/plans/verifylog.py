@@ -202,6 +202,13 @@ def proofs(results: DataFrame, atoms: DataFrame, tolerance: int = 5) -> DataFram
     return grouping.keep_last(rows, ["code_name"], [F.col("rank"), F.col("code_path"), F.col("code_line")]).drop("rank")
 
 
+def with_code_names(results: DataFrame, atoms: DataFrame, tolerance: int = 5) -> DataFrame:
+    """``results`` with the code_name of the nearest atom of their name and path, null where none is within ``tolerance`` lines."""
+    keys = ["name", "file", "lines_start", "lines_end"]
+    own = results.select(*keys).where(F.col("name").isNotNull() & F.col("file").isNotNull()).distinct()
+    return results.join(match_atoms(own, atoms, tolerance, use_span=False), keys, "left").select(*results.columns, "code_name")
+
+
 def errors_by_file(lines: DataFrame) -> DataFrame:
     """(log_id, file, line_numbers): the places of errors in each file, in order."""
     return locations(lines).groupBy("log_id", "file").agg(F.array_sort(F.collect_list("line_number")).alias("line_numbers"))

@@ -232,6 +232,37 @@ def functions_of_atoms(t):
     return verifylog.match_atoms(f, a).select("o_orderkey", "code_name")
 
 
+_RESULTS = """f AS (SELECT o_orderkey AS k, 'o' || o_custkey % 50 AS name, CASE o_orderkey % 3 WHEN 0 THEN 'p/src/a' WHEN 1 THEN 'src/b' ELSE 'q/src/a' END || o_custkey % 7 || '.rs' AS file, o_orderkey % 1000 AS s, CASE WHEN o_totalprice < 100000 THEN 'failed' WHEN o_orderkey % 5 = 0 THEN 'unverified' ELSE 'verified' END AS category FROM orders),
+    a AS (SELECT 'o' || c_custkey % 50 AS name, 'k' || c_custkey % 900 AS code_name, 'z/src/' || CASE c_custkey % 2 WHEN 0 THEN 'a' ELSE 'b' END || c_custkey % 7 || '.rs' AS path, c_custkey * 7 % 1000 AS line FROM customer),
+    m AS (SELECT f.*, code_name, row_number() OVER (PARTITION BY k ORDER BY abs(s - line), code_name) AS rn FROM f JOIN a USING (name) WHERE (ends_with(path, file) OR ends_with(file, path) OR regexp_replace(path, '^.*?/src/', 'src/') = regexp_replace(file, '^.*?/src/', 'src/')) AND abs(s - line) <= 5)"""
+
+
+def _results(t):
+    """Functions with categories, and atoms for them."""
+    n, c = F.col("o_orderkey") % 3, F.col("c_custkey")
+    file = F.concat(F.when(n == 0, "p/src/a").when(n == 1, "src/b").otherwise("q/src/a"), (F.col("o_custkey") % 7).cast("string"), F.lit(".rs"))
+    category = F.when(F.col("o_totalprice") < 100000, "failed").when(F.col("o_orderkey") % 5 == 0, "unverified").otherwise("verified")
+    start = F.col("o_orderkey") % 1000
+    f = t("orders").select("o_orderkey", F.concat(F.lit("o"), (F.col("o_custkey") % 50).cast("string")).alias("name"), file.alias("file"), start.alias("lines_start"), (start + F.col("o_orderkey") % 40).alias("lines_end"), category.alias("category"))
+    path = F.concat(F.lit("z/src/"), F.when(c % 2 == 0, "a").otherwise("b"), (c % 7).cast("string"), F.lit(".rs"))
+    a = t("customer").select(F.concat(F.lit("T::o"), (c % 50).cast("string")).alias("display_name"), F.concat(F.lit("k"), (c % 900).cast("string")).alias("code_name"), path.alias("code_path"), (c * 7 % 1000).alias("lines_start"))
+    return f, a
+
+
+@query(f"WITH {_RESULTS} SELECT f.k AS o_orderkey, f.category, m.code_name FROM f LEFT JOIN m ON m.k = f.k AND rn = 1")
+def enriched_results(t):
+    """All results, those with an atom near with its code name."""
+    return verifylog.with_code_names(*_results(t)).select("o_orderkey", "category", "code_name")
+
+
+@query(f"""WITH {_RESULTS}, r AS (SELECT *, CASE category WHEN 'unverified' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END AS rank FROM m WHERE rn = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY code_name ORDER BY rank DESC, file DESC, s DESC) AS n FROM r)
+    SELECT code_name, file AS code_path, s AS code_line, rank = 0 AS verified, CASE rank WHEN 2 THEN 'sorries' WHEN 1 THEN 'failure' ELSE 'success' END AS status FROM o WHERE n = 1""")
+def proof_status(t):
+    """The proofs document's rows: of several results for one atom the worst counts."""
+    return verifylog.proofs(*_results(t)).select("code_name", "code_path", "code_line", "verified", "status")
+
+
 @query("""WITH f AS (SELECT o_orderkey, 'p' || o_custkey % 3 || '/src/d' || o_custkey || '/mod.rs' AS file, o_orderkey % 100000 AS s, o_orderkey % 100000 + (10 ** (o_orderkey % 7))::BIGINT - 1 AS e FROM orders),
     a AS (SELECT 'k' || c_custkey AS code_name, 'src/d' || c_custkey || '/mod.rs' AS path, c_custkey * 7919 % 100000 AS line FROM customer),
     m AS (SELECT o_orderkey, code_name, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(s - line), code_name) AS rn FROM f JOIN a ON ends_with(file, path) WHERE abs(s - line) <= 5 OR line BETWEEN s AND e)
