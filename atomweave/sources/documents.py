@@ -47,15 +47,20 @@ def read_logs(spark: SparkSession, path: str, exit_code: int = 0) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("log_id"), F.col("value").alias("text"), F.lit(exit_code).alias("exit_code"))
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log_id, pos, line): the lines of logs of any size, numbered from 1 within each file.
+def read_pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """(file, name, pos, piece): what stands between ``end``s in files of any size, numbered from 1 within each file.
 
-    Files are read in splits, each line by the split in which it begins.  A line's number is its place in its split and the
-    lines of the splits before, of which there is one short row each.  Lines end at line feeds; a carriage return before one
-    is no part of the line."""
-    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("log_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
-    # within a split the running number goes up by one from line to line
+    Files are read in splits, each piece by the split in which it begins.  A piece's number is its place in its split and the
+    pieces of the splits before, of which there is one short row each."""
+    read = spark.read.option("lineSep", end).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("piece"))
+    # within a split the running number goes up by one from piece to piece
     splits = read.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     begins = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return read.join(begins, ["file", "start"]).select("log_id", (F.col("at") - F.col("first") + F.col("before") + 1).alias("pos"), "line")
+    return read.join(begins, ["file", "start"]).select("file", "name", (F.col("at") - F.col("first") + F.col("before") + 1).alias("pos"), "piece")
+
+
+def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, pos, line): the lines of logs of any size.  Lines end at line feeds; a carriage return before one is no part of
+    the line."""
+    return read_pieces(spark, path, "\n").select(F.col("name").alias("log_id"), "pos", F.regexp_replace("piece", "\r$", "").alias("line"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomweave.functions import symbols as sym
+from atomweave.operators import scan
+from atomweave.operators.cut import cut
+from atomweave.sources.documents import read_pieces
 
 INDEX_SCHEMA = """metadata struct<tool_info: struct<name: string, version: string>, project_root: string, text_document_encoding: int>,
     documents array<struct<language: string, relative_path: string, position_encoding: int,
@@ -17,12 +20,49 @@ ATOM_TYPE = """map<string, struct<`display-name`: string, dependencies: array<st
     `code-module`: string, `code-path`: string, `code-text`: struct<`lines-start`: bigint, `lines-end`: bigint>, mode: string>>"""
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+#: Pieces of an index that one task looks at.
+PIECE = 100_000
+
+
+def split_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(index, doc_pos, text): the documents of indexes of any size as JSON, read in splits.
+
+    An index is cut at its opening braces.  Whether a piece begins within a string, and how deep, follows from the quotes and
+    brackets of all before it: each piece tells what it adds for either case, and running sums over blocks of pieces settle
+    which holds.  A document is an object that is an entry of a list of the outermost object and has a path."""
+    pieces = read_pieces(spark, path, "{")
+    plain = F.regexp_replace("piece", r"(?s)\\.", "")
+    bare = lambda begins: F.regexp_replace(F.concat(F.lit(begins), plain), r'"[^"]*("|\z)', "")
+    many = lambda text, c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    deeper = lambda text: many(text, "[") - many(text, "]") - many(text, "}")
+    last = lambda text: F.nullif(F.regexp_extract(text, r"(\S)\s*\z", 1), F.lit(""))
+    out, within = bare(""), bare('"')
+    told = cut(pieces.select("file", "pos", many(plain, '"').alias("quotes"), deeper(out).alias("d0"), deeper(within).alias("d1"), last(out).alias("l0"), last(within).alias("l1")))
+    key, order = ["file"], ["pos"]
+    state = scan.summed(scan.blocked_by_position(told, "pos", PIECE), key, order, F.col("quotes"), "sum")
+    inner = (F.col("sum") - F.col("quotes")) % 2 == 1
+    own = cut(state.select("file", "pos", "__block", inner.alias("inner"), ((~inner & (F.col("pos") > 1)).cast("int") + F.when(inner, F.col("d1")).otherwise(F.col("d0"))).alias("adds"), F.when(inner, F.col("l1")).otherwise(F.col("l0")).alias("last")))
+    deep = scan.summed(own, key, order, F.col("adds"), "depth")
+    begins = cut(scan.carried(deep, key, order, F.col("last"), "before", before=True))
+    opens = ~F.col("inner") & (F.col("pos") > 1) & (F.col("depth") - F.col("adds") == 2) & F.col("before").isin("[", ",")
+    numbered = scan.summed(begins, key, order, opens.cast("int"), "doc").where("doc > 0").select("file", "pos", "doc")
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "{"))
+    docs = pieces.join(numbered, ["file", "pos"]).groupBy("file", "doc").agg(text.alias("text"))
+    return docs.where(F.get_json_object("text", "$.relative_path").isNotNull()).select(F.col("file").alias("index"), (F.col("doc") - 1).cast("int").alias("doc_pos"), "text")
+
+
+def read_index(spark: SparkSession, path: str, split: bool = False) -> tuple[DataFrame, DataFrame]:
     """(symbols, occurrences) of one index or a folder of them; array positions become columns, since order has meaning.
 
-    Raises ValueError if a mandatory field is missing, as a strict reader would."""
-    whole = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
-    docs = whole.select(F.col("_metadata.file_path").alias("index"), F.posexplode("documents").alias("doc_pos", "d"))
+    With ``split`` an index is read by many tasks, else by one.  Raises ValueError if a mandatory field is missing, as a
+    strict reader would."""
+    if split:
+        kind = INDEX_SCHEMA[INDEX_SCHEMA.index("array<") + 6 : -1]
+        docs = split_documents(spark, path).select("index", "doc_pos", F.from_json("text", kind).alias("d"))
+        whole = docs.select(F.lit(True).alias("metadata"), F.lit(True).alias("documents"))
+    else:
+        whole = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
+        docs = whole.select(F.col("_metadata.file_path").alias("index"), F.posexplode("documents").alias("doc_pos", "d"))
     at = ["index", "doc_pos", F.regexp_replace("d.relative_path", "^/+", "").alias("path")]
     s = docs.select(*at, F.posexplode("d.symbols").alias("sym_pos", "s")).select(
         "index", "doc_pos", "path", "sym_pos", "s.symbol", "s.kind", "s.display_name", F.col("s.signature_documentation.text").alias("signature"), "s.enclosing_symbol"
