@@ -75,12 +75,13 @@ def chosen(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     out = np.empty(n, np.int64)
     for at in range(0, n, PLACES - WINDOW):
-        part = data[at : min(at + PLACES - 1, len(data))]
+        part = np.ascontiguousarray(data[at : min(at + PLACES - 1, len(data))])
         grams = len(part) - GRAM + 1
-        packed = np.zeros(grams, U64)
-        for j in range(GRAM):
-            packed |= part[j : j + grams].astype(U64) << U64(8 * j)
-        low = mix(packed + U64(0x632BE59BD9B4E019)) & ~U64(PLACES - 1) | np.arange(grams, dtype=U64)
+        low = np.ndarray(grams, "<u8", part, 0, (1,)) * U64(0x9E3779B97F4A7C15)  # the eight bytes from each place on
+        low ^= low >> U64(29)
+        low *= U64(0xBF58476D1CE4E5B9)
+        low &= ~U64(PLACES - 1)
+        low |= np.arange(grams, dtype=U64)
         done = 1
         while 2 * done <= WINDOW:
             low = np.minimum(low[:-done], low[done:])
@@ -165,7 +166,7 @@ def _pooled(size: int):
 
         count = 0
         for whole in batches:
-            for batch in slices(whole, "t", 2 << 20):
+            for batch in slices(whole, "t", 1 << 19):
                 data, offsets = utf8(batch.column(1))
                 row, places = _anchors(data, offsets)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -206,7 +207,7 @@ def stretches(texts: DataFrame) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "t"):
+            for batch in slices(whole, "t", 1 << 19):
                 data, offsets = utf8(batch.column(1))
                 ids, starts, pieces = [], [], []
                 for i, (name, ats) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
@@ -232,7 +233,7 @@ def stretches(texts: DataFrame) -> DataFrame:
 # each key what the counts of all smaller ones add up to.
 
 #: Anchors of a parcel, and keys that are looked at, at most, to find even ranges.
-NODES, SAMPLE = 50_000, 100_000
+NODES, SAMPLE = 20_000, 100_000
 #: A symbol or triple that tells all bytes up to the end.
 ALL = 1 << 30
 
@@ -290,12 +291,30 @@ def _parcel(table: pa.Table) -> pa.Table:
     return pa.table({"p": table.column("p").slice(0, 1), "g": pa.array([table.column("g").to_numpy().astype("<i8").tobytes()], pa.binary()), "length": pa.array([np.diff(at).astype("<i4").tobytes()], pa.binary()), "bytes": pa.array([flat.tobytes()], pa.binary())})
 
 
+class Parcel:
+    """One row of a batch, whose columns are looked up when they're asked for: lists of numbers as arrays by field."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.batch, self.i = batch, i
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.batch.schema.names
+
+    def __getitem__(self, name: str):
+        return self.batch.column(self.batch.schema.get_field_index(name))[self.i].as_py()
+
+    def fields(self, name: str, *wanted: str) -> list[np.ndarray]:
+        rows = self.batch.column(self.batch.schema.get_field_index(name)).slice(self.i, 1).flatten()
+        return [rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in wanted]
+
+
 def _rows(batches):
     for batch in batches:
-        yield from batch.to_pylist()
+        for i in range(batch.num_rows):
+            yield Parcel(batch, i)
 
 
-def _opened(row: dict) -> tuple[np.ndarray, Pieces]:
+def _opened(row: Parcel) -> tuple[np.ndarray, Pieces]:
     size = np.frombuffer(row["length"], "<i4").astype(np.int64)
     return np.frombuffer(row["g"], "<i8"), Pieces(np.frombuffer(row["bytes"], np.uint8), np.concatenate([[0], np.cumsum(size)]))
 
@@ -356,7 +375,7 @@ def _asked(state: DataFrame, ask, width: int, counts: int) -> tuple[DataFrame, n
     """What parcels are told about their keys (p, told), what ranges begin with, and the number of keys that are open: with a
     count over 1 in the first column and any in the second.  ``ask`` gives a parcel's keys and counts."""
     parcels = state.count()
-    each = max(1, min(64, SAMPLE // max(1, parcels)))
+    each = max(16, min(SAMPLE // 128, parcels))
 
     def look(batches):
         for row in _rows(batches):
@@ -364,7 +383,8 @@ def _asked(state: DataFrame, ask, width: int, counts: int) -> tuple[DataFrame, n
             step = max(1, len(keys) // each)
             yield pa.RecordBatch.from_arrays([pa.array([k.ljust(width, b"\0") for k in np.unique(keys)[::step][:each].tolist()], pa.binary())], ["key"])
 
-    some = sorted(bytes(r["key"]) for r in state.mapInArrow(look, "key binary").limit(SAMPLE).collect()) if parcels > 1 else []
+    few = state.where(F.pmod(F.xxhash64("p"), F.lit(max(1, parcels // 64))) == 0)  # for even ranges some parcels will do
+    some = sorted(bytes(r["key"]) for r in few.mapInArrow(look, "key binary").limit(SAMPLE).collect()) if parcels > 1 else []
     borders = np.array(some[:: max(1, len(some) // max(1, parcels))][1:], f"S{width}")
 
     def send(batches):
@@ -395,7 +415,7 @@ def _asked(state: DataFrame, ask, width: int, counts: int) -> tuple[DataFrame, n
     return replies.groupBy("p").agg(F.collect_list(F.struct("r", "before")).alias("told")), np.cumsum(begins, 0), sum(r["open"] for r in totals.values())
 
 
-def _before(row: dict, begins: np.ndarray, ask) -> np.ndarray:
+def _before(row: Parcel, begins: np.ndarray, ask) -> np.ndarray:
     """For each key of a parcel the counts of all smaller ones."""
     told = [np.frombuffer(x["before"], "<i8").reshape(-1, begins.shape[1]) + begins[x["r"]] for x in sorted(row["told"], key=lambda x: x["r"])]
     _, where = np.unique(ask(row)[0], return_inverse=True)
@@ -406,12 +426,12 @@ def _joined(state: DataFrame, more: DataFrame) -> DataFrame:
     return state.join(more, "p", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<r: int, before: binary>>")))
 
 
-def _ask_symbols(row: dict):
+def _ask_symbols(row: Parcel):
     keys = _opened(row)[1].symbols()
     return keys, np.ones((len(keys), 1), np.int64)
 
 
-def _ask_triples(row: dict):
+def _ask_triples(row: Parcel):
     c = Chains(row)
     k, one, two, told = c.triples()
     return _key(c.symbol[k], _after(c.symbol, one, 0), _after(c.symbol, two, 0)), np.stack([np.ones(len(k), np.int64), (told < LENGTH).astype(np.int64)], 1)
@@ -429,7 +449,7 @@ def _sides(c: Chains):
         yield k, side, _key(np.full(len(k), side), c.symbol[k], b, r)
 
 
-def _ask_sides(row: dict):
+def _ask_sides(row: Parcel):
     c = Chains(row)
     k, _, keys = zip(*_sides(c))
     rest = (c.kind[np.concatenate(k)] == 0).astype(np.int64)
@@ -531,8 +551,8 @@ def _placed(batches):
     for row in _rows(batches):
         g, p = _opened(row)
         k, v, *_ = _places(g, p)
-        times = {x["g"]: x["n"] for x in row["t"]}
-        n = np.array([times[x] for x in g.tolist()], np.int64)[p.row[k]]
+        own, times = row.fields("t", "g", "n")  # the parcel's stretches are in the order of g
+        n = times[np.argsort(own, kind="stable")][p.row[k]]
         own, first, where = np.unique(v, return_index=True, return_inverse=True)
         total = np.bincount(where, n, len(own)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row["p"], np.int32)), pa.array(k[first].astype(np.int32)), pa.array(total)], ["v", "p", "k", "n"])
@@ -543,9 +563,8 @@ def _contexts(batches):
     for row in _rows(batches):
         g, p = _opened(row)
         mask, low, high = p.around()
-        asked = row["asked"]
-        k = np.array([x["k"] for x in asked], np.int64)
-        numbers = [np.array([x["v"] for x in asked], np.int64), np.frombuffer(row["ranks"], "<i8")[k], np.array([x["n"] for x in asked], np.int64), mask[k].view(np.int64), (p.at - low)[k]]
+        v, k, n = row.fields("asked", "v", "k", "n")
+        numbers = [v, np.frombuffer(row["ranks"], "<i8")[k], n, mask[k].view(np.int64), (p.at - low)[k]]
         yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), _taken(p.data, low[k], high[k])], ["v", "rank", "n", "mask", "left", "around"])
 
 
@@ -599,7 +618,7 @@ def _adjacent(batches):
     for batch in batches:
         held.append(batch)
         count += batch.num_rows
-        if count >= 40_000:
+        if count >= 20_000:
             table = pa.Table.from_batches(held).combine_chunks()
             # keep the last run for the next round, as it may go on there
             flat, at = _flat(table.column("around"))
@@ -623,9 +642,9 @@ def _intervals(batches):
     for row in _rows(batches):
         g, p = _opened(row)
         k, v, *_ = _places(g, p)
-        known = np.array([x["v"] for x in row["hits"]], np.int64)
+        known, bits = row.fields("hits", "v", "bits")
         order = np.argsort(known)
-        bits = np.array([x["bits"] for x in row["hits"]], np.int64).view(U64)[order]
+        bits = bits.view(U64)[order]
         slot = np.minimum(np.searchsorted(known[order], v), len(known) - 1)
         told = np.where(known[order][slot] == v, bits[slot], U64(0))
         which, d = np.nonzero((told[:, None] >> np.arange(WINDOW, dtype=U64)[None]) & U64(1) == 1)

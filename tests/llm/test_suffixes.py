@@ -93,7 +93,7 @@ def test_ranks_are_those_of_sorted_suffixes(spark, monkeypatch, letters):
     monkeypatch.setattr(suffixes, "NODES", 20)
     got = []
     for row in suffixes.sorted_suffixes(df).collect():
-        g, p = suffixes._opened(row.asDict())
+        g, p = suffixes._opened(row.asDict(True))
         at = (p.at - p.offsets[p.row]).tolist()
         got += [(int(r), raw[int(g[i])][a:][:N]) for r, i, a in zip(np.frombuffer(row["ranks"], "<i8"), p.row, at)]
         assert len(at) == len(row["ranks"]) // 8
