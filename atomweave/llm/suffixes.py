@@ -611,7 +611,14 @@ def _adjacent(batches):
             here = np.flatnonzero(border & (mask >> U64(d) & U64(1) == 1))
             if len(here):
                 start = anchor[here] - d
-                out.append((v[here], np.zeros(len(here), np.int64), prints.of(start, start + LENGTH).view(np.int64), np.full(len(here), d)))
+                w = prints.of(start, start + LENGTH).view(np.int64)
+                # of those known to occur again one speaks for all
+                known = bits[here] >> U64(d) & U64(1) == 1
+                one = np.zeros(len(here), bool)
+                one[np.flatnonzero(known)[np.unique(w[known], return_index=True)[1]]] = True
+                keep = ~known | one
+                here, w = here[keep], w[keep]
+                out.append((v[here], np.zeros(len(here), np.int64), w, np.full(len(here), d)))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["v", "bits", "w", "bit"])
 
     count = 0
