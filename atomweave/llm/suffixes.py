@@ -39,6 +39,8 @@ SURE, SYMBOL = LENGTH - WINDOW + 1, WINDOW + GRAM
 PACKET, FRAGMENT = 300_000, 250_000
 #: Places that are numbered at once when anchors are chosen.
 PLACES = 1 << 24
+#: Powers that a worker keeps from call to call, and anchors whose bytes are compared at once, or at most if they share a run.
+KEPT, JUDGED, LONG_RUN = 1 << 21, 6_000, 100_000
 
 U64 = np.uint64
 _BYTE = mix(np.arange(11, 267, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -47,14 +49,17 @@ _power: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64, kept for the next call."""
-    if len(_power.get("up", ())) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _power[name] = np.multiply.accumulate(x)
-    return _power["up"], _power["down"]
+    """Powers of an odd number and of its inverse modulo 2 ** 64; up to KEPT of them are kept for the next call."""
+    if len(_power.get("up", ())) >= n:
+        return _power["up"], _power["down"]
+    made = {}
+    for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
+        x = np.full(1 << (n - 1).bit_length(), base, U64)
+        x[0] = 1
+        made[name] = np.multiply.accumulate(x, out=x)
+    if n <= KEPT:
+        _power.update(made)
+    return made["up"], made["down"]
 
 
 class Prints:
@@ -62,7 +67,11 @@ class Prints:
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers(len(data) + 1)
-        self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(_BYTE[data] * up[: len(data)])])
+        self.sums = np.empty(len(data) + 1, U64)
+        self.sums[0] = 0
+        np.take(_BYTE, data, out=self.sums[1:], mode="clip")
+        self.sums[1:] *= up[: len(data)]
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(U64))
@@ -625,7 +634,7 @@ def _adjacent(batches):
     for batch in batches:
         held.append(batch)
         count += batch.num_rows
-        if count >= 20_000:
+        if count >= JUDGED:
             table = pa.Table.from_batches(held).combine_chunks()
             # keep the last run for the next round, as it may go on there
             flat, at = _flat(table.column("around"))
@@ -633,7 +642,7 @@ def _adjacent(batches):
             sure = Prints(flat).of(anchor, anchor + SURE)
             other = np.flatnonzero(sure != sure[-1])
             cut = int(other[-1]) + 1 if len(other) else 0
-            if cut or count >= 400_000:
+            if cut or count >= LONG_RUN:
                 # a run too long to wait for is looked at as if it were split over tasks
                 yield judged(table.slice(0, cut or count), not cut)
                 held = table.slice(cut or count).to_batches()

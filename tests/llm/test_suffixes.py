@@ -101,3 +101,15 @@ def test_ranks_are_those_of_sorted_suffixes(spark, monkeypatch, letters):
     assert [x for _, x in got] == sorted(x for _, x in got)
     # equal ranks are equal strings, as far as they go
     assert all(a[1] == b[1] for a, b in zip(got, got[1:]) if a[0] == b[0])
+
+
+def test_powers_of_long_texts_are_not_kept(monkeypatch):
+    """Workers keep a bounded table of powers; longer ones are made anew and tell the same."""
+    monkeypatch.setattr(suffixes, "_power", {})
+    monkeypatch.setattr(suffixes, "KEPT", 1 << 10)
+    data = np.random.default_rng(8).integers(0, 256, 5000).astype(np.uint8)
+    data[4000:4300] = data[100:400]
+    long, short = suffixes.Prints(data), suffixes.Prints(data[:500])
+    at = lambda p, a, n: int(p.of(np.array([a]), np.array([a + n]))[0])
+    assert at(long, 4000, 300) == at(long, 100, 300) == at(short, 100, 300) != at(long, 101, 300)
+    assert len(suffixes._power["up"]) <= 1 << 10
