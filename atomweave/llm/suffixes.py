@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atomweave.llm.common import BROADCAST_ROWS, slices, small_batches, staged, utf8
+from atomweave.llm.common import BROADCAST_ROWS, collected, discard, slices, small_batches, staged, utf8
 from atomweave.llm.words import mix
 
 LENGTH, WINDOW, GRAM = 200, 64, 8
@@ -233,7 +233,10 @@ def stretches(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(Prints(flat).of(at[:-1], at[1:]).view(np.int64)), pa.array(pieces, pa.binary())], ["id", "start", "g", "bytes"])
 
     both = wanted.join(shared, "id").select("id", "t", "ats").mapInArrow(cut, "id long, start int, g long, bytes binary")
-    return staged(both.dropDuplicates(["id", "start"]))
+    out = staged(both.dropDuplicates(["id", "start"]))
+    discard(shared)
+    collected(texts.sparkSession)
+    return out
 
 
 # ---- suffix sorting ---------------------------------------------------------------------------------------------
@@ -686,15 +689,19 @@ def covered(texts: DataFrame) -> DataFrame:
     found = stretches(texts)
     pieces = staged(found.groupBy("g").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n")))
     parcels = sorted_suffixes(pieces.select("g", "bytes"))
+    collected(texts.sparkSession)
     # how often each stretch is there, beside its parcel
     times = pieces.groupBy(_parcel_of(pieces).alias("p")).agg(F.collect_list(F.struct("g", "n")).alias("t"))
     placed = staged(parcels.join(times, "p").mapInArrow(_placed, "v long, p int, k int, n long"))
     # places with equal bytes all around are one, counted
     places = placed.groupBy("v").agg(F.min(F.struct("p", "k")).alias("at"), F.sum("n").alias("n"))
     asked = places.select("v", "at.p", "at.k", "n").groupBy("p").agg(F.collect_list(F.struct("v", "k", "n")).alias("asked"))
+    collected(texts.sparkSession)
     contexts = staged(parcels.join(asked, "p").mapInArrow(_contexts, "v long, rank long, n long, mask long, left long, around binary"))
     ranges = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     judged = staged(contexts.repartitionByRange(ranges, "rank", "v").sortWithinPartitions("rank", "v").mapInArrow(_adjacent, "v long, bits long, w long, bit long"))
+    discard(contexts)
+    collected(texts.sparkSession)
     split = judged.where("bit >= 0")
     again = split.groupBy("w").agg(F.min(F.struct("v", "bit")).alias("a"), F.max(F.struct("v", "bit")).alias("b")).where("a <> b").select("w")
     more = split.join(again, "w", "left_semi").select("v", F.expr("shiftleft(1L, int(bit))").alias("bits"))
