@@ -59,7 +59,8 @@ def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: s
     own, plain = [c for c in spans.columns if c not in keys], points.columns
     points = points.groupBy(*plain).agg(F.count("*").alias("__times"))
     best = F.min(F.struct((F.col(last) - F.col(first)).alias("__len"), F.col(first).alias("__first"), F.struct(*own).alias("__own"))).alias("__best")
-    out = ranges.inside(points, spans, keys, point, first, last).groupBy(*plain, "__times").agg(best).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    order = [F.col(last) - F.col(first), F.col(first), F.struct(*own)]
+    out = ranges.candidates(points, spans, keys, point, first, last, order).groupBy(*plain, "__times").agg(best).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
     return out.select(*plain, *[F.col(f"__best.__own.`{c}`").alias(c) for c in own])
 
 

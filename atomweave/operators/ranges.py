@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from atomweave.operators.cut import cut
+
+#: Spans of a key that each of its points is simply held against; keys of more are cut into cells.
+FEW_SPANS = 64
 #: Cells of a level are 2 ** level wide; wider ones aren't needed for 64-bit places.
 LEVELS = 61
 
@@ -54,3 +58,40 @@ def inside(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str,
     used = cut.agg(F.array_sort(F.collect_set("__level"))).scalar()
     asked = points.withColumn("__level", F.explode(used)).withColumn("__cell", F.call_function("shiftright", at, F.col("__level")))
     return asked.join(cut, [*keys, "__level", "__cell"]).drop("__level", "__cell")
+
+
+def candidates(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, order: Sequence[Column]) -> DataFrame:
+    """Of the pairs of ``inside`` some for each point, among them that with the span which comes first in ``order``.
+
+    Points of a key of up to FEW_SPANS spans meet all that hold them.  Spans of other keys are numbered in ``order`` and cut
+    into cells, of which each keeps the least number only; so a point meets one span of a level at most, and rows grow with
+    points and spans, not with the pairs that hold."""
+    at, a, b = whole(points, point), whole(spans, first), whole(spans, last)
+    if at is None or a is None or b is None:
+        return inside(points, spans, keys, point, first, last)
+    held = F.col(point).between(F.col(first), F.col(last))
+    crowded = cut(spans.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > FEW_SPANS).select(*keys, F.lit(True).alias("__crowded")))
+    if crowded.isEmpty():
+        return points.join(spans, list(keys)).where(held)
+    listed = cut(spans.join(crowded, list(keys), "left_semi").where(a <= b).orderBy(*order).withColumn("__nth", F.monotonically_increasing_id()))
+    top = F.ceil(F.log2((b - a).cast("double") + 2)).cast("int")
+    levels = listed.agg(F.max(F.least(top, F.lit(LEVELS))).alias("top")).select(F.sequence(F.lit(0), F.coalesce("top", F.lit(0)))).scalar()
+    best = _maximal(listed.select(*keys, "__nth", a.alias("__a"), b.alias("__b"), F.explode(F.sequence(F.lit(0), F.least(top, F.lit(LEVELS)))).alias("__level")))
+    best = best.groupBy(*keys, "__level", "__cell").agg(F.min("__nth").alias("__nth"))
+    best = best.join(listed.drop(*keys), "__nth").drop("__nth")
+    few = spans.join(crowded, list(keys), "left_anti").withColumns({"__level": F.lit(-1), "__cell": F.lit(0).cast("long")})
+    asked = points.join(crowded, list(keys), "left").withColumn("__level", F.explode(F.when(F.col("__crowded"), levels).otherwise(F.array(F.lit(-1))))).drop("__crowded")
+    asked = asked.withColumn("__cell", F.when(F.col("__level") >= 0, F.call_function("shiftright", at, F.col("__level"))).otherwise(F.lit(0).cast("long")))
+    return asked.join(best.unionByName(few), [*keys, "__level", "__cell"]).where(held).drop("__level", "__cell")
+
+
+def _maximal(df: DataFrame) -> DataFrame:
+    """``df`` (__a, __b, __level, ...) with the cells of that level that ``cells`` names, in __cell: the outermost two that lie
+    inside, unless with its neighbour inside as well it makes up a cell of the next level."""
+    one = F.lit(1).cast("long")
+    wide = F.call_function("shiftleft", one, F.col("__level"))
+    df = df.withColumns({"__low": F.call_function("shiftright", F.col("__a") + wide - 1, F.col("__level")), "__high": F.call_function("shiftright", F.col("__b") + 1, F.col("__level")) - 1}).where("__low <= __high")
+    same = F.col("__low") == F.col("__high")
+    low = F.when(same | (F.col("__low").bitwiseAND(one) == 1), F.col("__low"))
+    high = F.when(~same & (F.col("__high").bitwiseAND(one) == 0), F.col("__high"))
+    return df.withColumn("__cell", F.explode(F.array(low, high))).where("__cell IS NOT NULL").drop("__a", "__b", "__low", "__high")
