@@ -67,7 +67,8 @@ def innermost(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: s
 def exact_then_interval(left: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, first: str, last: str, row: Sequence[str]) -> DataFrame:
     """Each left row (told apart by ``row``) with the span that starts at its point, else the latest one around it."""
     own = [c for c in spans.columns if c not in keys]
-    joined = ranges.inside(left, spans, keys, point, first, last)
+    order = [F.col(first).desc(), F.struct(*[F.col(c) for c in own if c != first]).desc()]
+    joined = ranges.candidates(left, spans, keys, point, first, last, order)
     best = joined.groupBy(*row).agg(F.max(F.struct((F.col(point) == F.col(first)).alias("exact"), *[F.col(c) for c in [first, *[c for c in own if c != first]]])).alias("__s"))
     return left.join(best.select(*row, "__s"), list(row), "left").select(*left.columns, *[F.col(f"__s.`{c}`").alias(c) for c in own], F.col("__s.exact").alias("exact"))
 

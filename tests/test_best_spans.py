@@ -37,3 +37,23 @@ def test_pairs_do_not_grow_with_the_spans_that_hold(crowd):
     pairs = ranges.candidates(hot, s, ["k"], "x", "a", "b", order)
     pairs.write.format("noop").mode("overwrite").save()
     assert pairs.count() <= 11 * hot.count() < ranges.inside(hot, s, ["k"], "x", "a", "b").count() / 4
+
+
+def test_times_of_keys_with_few_spans_are_not_cut(spark):
+    """Ten spans of a month for each key, in microseconds: no row is made for each of some forty levels."""
+    day = lambda n: dt.datetime(1996, 1, 1) + dt.timedelta(days=n)
+    spans = spark.createDataFrame([(i % 20, day(i * 7 % 300), day(i * 7 % 300 + 30), i) for i in range(200)], "k long, a timestamp_ntz, b timestamp_ntz, s long")
+    points = spark.createDataFrame([(i % 20, day(i * 11 % 350), i) for i in range(400)], "k long, at timestamp_ntz, n long")
+    out = joins.exact_then_interval(points, spans, ["k"], "at", "a", "b", ["n"])
+    assert "__level" not in out._jdf.queryExecution().optimizedPlan().toString()
+    held = points.join(spans, "k").where("at BETWEEN a AND b").groupBy("n").agg(F.max(F.struct("a", "s"))["s"].alias("s"))
+    want = points.join(held, "n", "left").select("n", "s").collect()
+    assert sorted(map(tuple, out.select("n", "s").collect())) == sorted(map(tuple, want))
+
+
+def test_latest_span_of_a_crowded_key(crowd):
+    spans, points, s, p = crowd
+    got = joins.exact_then_interval(p.distinct(), s, ["k"], "x", "a", "b", ["n"]).select("k", "x", "n", "a", "b", "name", "exact").collect()
+    best = lambda k, x: max(((a == x, a, b, name) for a, b, name in around(spans, k, x)), default=None)
+    want = [(k, x, n, *((v[1], v[2], v[3], v[0]) if (v := best(k, x)) else (None,) * 4)) for k, x, n in set(points)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
