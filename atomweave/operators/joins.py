@@ -77,11 +77,14 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     """Each left row with the right row of its key whose value is nearest and at most ``tolerance`` away (or inside the
     left row's ``span``); equal distances go to the least ``tie``.  ``also``: what else must hold of both rows.
 
-    Values are cut into bands as wide as the tolerance, so only neighbouring bands meet; a span and its tolerance are cut
-    into dyadic cells, and a right row asks for those that it lies in."""
+    Without a span and ``also``, the nearest values are looked up in one order, see ``_nearest``.  Else values are cut into
+    bands as wide as the tolerance, so only neighbouring bands meet; a span and its tolerance are cut into dyadic cells, and
+    a right row asks for those that it lies in."""
     own = [c for c in right.columns if c not in keys]
     distance = F.abs(F.col(left_value) - F.col(right_value))
     near = distance <= tolerance
+    if span is None and also is None:
+        return _nearest(left, right, keys, left_value, right_value, tolerance, row, tie)
     if span is None:
         width = max(tolerance, 1e-9)
         asked = left.withColumn("__b", F.explode(F.sequence(F.floor((F.col(left_value) - tolerance) / width), F.floor((F.col(left_value) + tolerance) / width))))
@@ -97,6 +100,32 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return best.select(*row, F.col("__m.distance").alias("distance"), *[F.col(f"__m.__own.`{c}`").alias(c) for c in own])
 
 
+def _nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], left_value: str, right_value: str, tolerance: float, row: Sequence[str], tie: str) -> DataFrame:
+    """``nearest_within`` without pairs: of equal right values the least ``tie`` stays, both sides lie in one order within
+    bands as wide as the tolerance, and each left row sees the right values next to it, or at the near ends of the bands
+    beside its own."""
+    own, width = [c for c in right.columns if c not in keys], max(tolerance, 1e-9)
+    band = lambda c: F.greatest(F.least(F.floor(F.col(c) / width), F.lit(2**62)), F.lit(-(2**62)))
+    known = right.where(F.abs(F.col(right_value).cast("double")) < float("inf")).dropna(subset=list(keys))
+    known = known.groupBy(*keys, F.col(right_value).alias("__at")).agg(F.min(F.struct(F.col(tie).alias("__tie"), F.struct(*own).alias("__own"))).alias("__r")).withColumn("__band", band("__at"))
+    # the ends of the bands one and two below and above (two, as distances are rounded)
+    ends = known.groupBy(*keys, "__band").agg(F.min_by("__r", "__at").alias("__first"), F.max_by("__r", "__at").alias("__last")).withColumn("__by", F.explode(F.array(*[F.lit(n) for n in (-2, -1, 1, 2)])))
+    side = lambda best, c, above: best(F.when((F.col("__by") < 0) == F.lit(above), F.col(c)), F.when((F.col("__by") < 0) == F.lit(above), F.abs("__by")))
+    ends = ends.withColumn("__band", F.col("__band") + F.col("__by")).groupBy(*keys, "__band").agg(side(F.min_by, "__last", False).alias("__below"), side(F.min_by, "__first", True).alias("__above"))
+    both = left.withColumns({"__at": F.col(left_value), "__band": band(left_value), "__kind": F.lit(1)}).unionByName(known.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    within = Window.partitionBy(*keys, "__band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__under", F.last("__r", ignorenulls=True).over(within.orderBy("__at", "__kind"))).withColumn("__over", F.last("__r", ignorenulls=True).over(within.orderBy(F.col("__at").desc(), "__kind")))
+    met = both.where("__kind = 1").join(ends, [*keys, "__band"], "left")
+
+    def choice(c: str) -> Column:
+        distance = F.abs(F.col(left_value) - F.col(f"{c}.__own.`{right_value}`"))
+        return F.when(distance <= tolerance, F.struct(distance.alias("distance"), F.col(f"{c}.__tie"), F.col(f"{c}.__own")))
+
+    met = met.withColumn("__m", F.least(*[choice(c) for c in ("__under", "__over", "__below", "__above")])).where("__m IS NOT NULL")
+    best = met.groupBy(*row).agg(F.min("__m").alias("__m"))
+    return best.select(*row, F.col("__m.distance").alias("distance"), *[F.col(f"__m.__own.`{c}`").alias(c) for c in own])
+
+
 def resolve(calls: DataFrame, call: Sequence[str], accepted: Column) -> DataFrame:
     """Candidates of each call: the accepted one if there's exactly one, else all.  Counting is by call, in one window."""
     w = Window.partitionBy(*call)
